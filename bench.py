@@ -12,6 +12,7 @@ import time
 from pyspark.sql import SparkSession
 
 from geoaffinity.catalog.queries import QUERIES
+from geoaffinity.settings import SESSION_SETTINGS
 
 HEADLINE = (
     "order_cells_region",
@@ -32,17 +33,17 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("geoaffinity-bench")
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
-    )
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("geoaffinity-bench")
+    settings = {
+        **SESSION_SETTINGS,
+        "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": cpus,
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/nation.parquet").count()
     seconds = {}

@@ -13,12 +13,12 @@ driver time.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stirling's series at z + 8, walked back by the recurrence of the gamma function.
+# Stirling's series at z + 12, walked back by the recurrence of the gamma function.
 _LOG_GAMMA = (
-    "((({z}) + 7.5D) * ln(({z}) + 8D) - (({z}) + 8D) + 0.5D * ln(2D * pi())"
-    " + (1D / 12 - (1D / 360 - (1D / 1260 - 1D / 1680 / pow(({z}) + 8D, 2))"
-    " / pow(({z}) + 8D, 2)) / pow(({z}) + 8D, 2)) / (({z}) + 8D)"
-    " - ln(aggregate(sequence(0, 7), 1D, (product, i) -> product * (({z}) + i))))"
+    "((({z}) + 11.5D) * ln(({z}) + 12D) - (({z}) + 12D) + 0.5D * ln(2D * pi())"
+    " + (1D / 12 - (1D / 360 - (1D / 1260 - 1D / 1680 / pow(({z}) + 12D, 2))"
+    " / pow(({z}) + 12D, 2)) / pow(({z}) + 12D, 2)) / (({z}) + 12D)"
+    " - ln(aggregate(sequence(0, 11), 1D, (product, i) -> product * (({z}) + i))))"
 )
 
 # Partial numerators d_1, d_2, ... of the continued fraction, folded into its value.

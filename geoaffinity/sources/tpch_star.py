@@ -104,17 +104,19 @@ class _Source:
 
         Lines are summed per order and product number before they meet their order.  The partial
         sums run before the shuffle, so even an order that holds a large part of all lines
-        reaches the join as at most one row per product.
+        reaches the join as at most one row per product.  Money is summed in whole hundredths
+        of a cent, which is exact.
         """
-        price = "CAST(l_extendedprice AS DECIMAL(15,2))"
+        cents, percent = "CAST(round(l_extendedprice * 100) AS BIGINT)", "CAST(round({} * 100) AS BIGINT)"
+        money = "CAST(CAST({} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4))"
         parts = (
             self._read("lineitem")
             .selectExpr(
                 "CAST(l_orderkey AS STRING) AS spree_so_id",
                 f"l_partkey % {_CATALOG_SIZE} AS k",
-                f"{price} * (1 - CAST(l_discount AS DECIMAL(4,2))) AS sale_amount",
+                f"{cents} * (100 - {percent.format('l_discount')}) AS sale_amount",
                 "CAST(l_quantity AS BIGINT) AS quantity",
-                f"{price} * CAST(l_tax AS DECIMAL(4,2)) AS cost",
+                f"{cents} * {percent.format('l_tax')} AS cost",
             )
             .groupBy("spree_so_id", "k")
             .agg(
@@ -122,6 +124,13 @@ class _Source:
                 F.sum("quantity").alias("quantity"),
                 F.sum("cost").alias("cost"),
             )
+            .selectExpr(
+                "spree_so_id",
+                "k",
+                f"{money.format('sale_amount')} AS sale_amount",
+                "quantity",
+                f"{money.format('cost')} AS cost",
+            )
         )
         return parts.join(self.fact_saleorder, "spree_so_id")
 
