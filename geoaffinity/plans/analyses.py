@@ -34,7 +34,7 @@ from geoaffinity.params import (
     Scope,
     option_dimensions,
 )
-from geoaffinity.plans.materialise import materialise
+from geoaffinity.plans.materialise import materialise, materialise_levels
 from geoaffinity.sources.product_lists import of_market, option_lists
 from geoaffinity.sources.star import StarTables
 
@@ -71,20 +71,16 @@ def compare_sides(
     reuse_cells: bool = True,
 ) -> Sides:
     """Analysed and baseline cells of a comparison, option filters applied."""
-    keep = materialise if reuse_cells else _as_is
     place = DMA if params.level == DMA_LEVEL else REGION
     baseline_place = (
         DMA if params.level == DMA_LEVEL and params.baseline_level == DMA_LEVEL else REGION
     )
-    cells = keep(aligned_cells(star, attributes, params.scope, place))
-    other = (
-        cells if baseline_place == place else keep(aligned_cells(star, attributes, params.scope, baseline_place))
-    )
+    cells = _kept_cells(star, attributes, params.scope, {place, baseline_place}, reuse_cells)
     chosen = {name: params.options.get(name, ()) for name in option_dimensions(params.feature)}
     whole_market = params.baseline == params.scope.all_name
     return Sides.build(
-        cells,
-        other,
+        cells[place],
+        cells[baseline_place],
         place,
         [params.analysed],
         lambda df: m.filter_options(df, attributes, chosen, lists),
@@ -121,13 +117,10 @@ def rank_sides(
     reuse_cells: bool = True,
 ) -> Sides:
     """Cells of every place against those of the whole market, feature filters applied."""
-    keep = materialise if reuse_cells else _as_is
     place = DMA if params.level == DMA_LEVEL else REGION
-    regional = keep(aligned_cells(star, attributes, params.scope, REGION, include_overseas=True))
-    cells = regional if place == REGION else keep(aligned_cells(star, attributes, params.scope, DMA))
-    return Sides.build(
-        cells, regional, place, params.places, _feature_filter(attributes, params, product_info)
-    )
+    cells = _kept_cells(star, attributes, params.scope, {place, REGION}, reuse_cells, True)
+    in_scope = _feature_filter(attributes, params, product_info)
+    return Sides.build(cells[place], cells[REGION], place, params.places, in_scope)
 
 
 def rank_places(
@@ -160,9 +153,10 @@ def country_fact_table(
     reuse_cells: bool = True,
 ) -> DataFrame:
     """Country-wide facts of the chosen features in descending order of the metric."""
-    keep = materialise if reuse_cells else _as_is
     attributes = sku_attributes(star)
-    cells = keep(aligned_country_cells(star, attributes, params.scope))
+    cells = aligned_country_cells(star, attributes, params.scope)
+    if reuse_cells:
+        cells = materialise(cells)
     in_scope = _feature_filter(attributes, params, product_info)
     return fact_table(cells, attributes, params, in_scope)
 
@@ -178,5 +172,17 @@ def _feature_filter(attributes: DataFrame, params: RankParams | FactParams, prod
     return lambda df: m.filter_options(df, attributes, options, lists)
 
 
-def _as_is(df: DataFrame) -> DataFrame:
-    return df
+def _kept_cells(
+    star: StarTables,
+    attributes: DataFrame,
+    scope: Scope,
+    places: set[str],
+    reuse_cells: bool,
+    include_overseas: bool = False,
+) -> dict[str, DataFrame]:
+    """Aligned cells of each place level, written once if they are to be reused."""
+    cells = {
+        place: aligned_cells(star, attributes, scope, place, include_overseas)
+        for place in sorted(places)
+    }
+    return materialise_levels(cells) if reuse_cells else cells

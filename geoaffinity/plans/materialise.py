@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str | None:
     return None
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader of what was written.
 
     Unlike a cache the written table survives the loss of executors, is read by column, and has a
@@ -32,5 +32,25 @@ def materialise(df: DataFrame) -> DataFrame:
     if folder is None:
         return df
     path = f"{folder}/cells-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_levels(levels: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write the cells of several place levels, keyed by their place column, in one job.
+
+    As parts of one plan the levels share what they have in common, above all the shuffle of the
+    order lines, which then is read and moved once for all of them.
+    """
+    tagged = [
+        cells.withColumnRenamed(place, "place").selectExpr("*", f"'{place}' AS level")
+        for place, cells in levels.items()
+    ]
+    union = tagged[0]
+    for part in tagged[1:]:
+        union = union.unionByName(part)
+    written = materialise(union, "level")
+    return {
+        place: written.filter(f"level = '{place}'").drop("level").withColumnRenamed("place", place)
+        for place in levels
+    }
