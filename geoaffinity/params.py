@@ -105,6 +105,8 @@ class Scope:
 
     def __post_init__(self):
         _one_of("market", self.market, MARKETS)
+        if type(self.start) is not dt.date or type(self.end) is not dt.date:
+            raise ValueError("start and end must be plain dates")
         if self.end < self.start:
             raise ValueError("end date must not be before start date")
 

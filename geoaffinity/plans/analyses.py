@@ -75,9 +75,14 @@ def compare_sides(
     baseline_place = (
         DMA if params.level == DMA_LEVEL and params.baseline_level == DMA_LEVEL else REGION
     )
-    cells = _kept_cells(star, attributes, params.scope, {place, baseline_place}, reuse_cells)
-    chosen = {name: params.options.get(name, ()) for name in option_dimensions(params.feature)}
     whole_market = params.baseline == params.scope.all_name
+    wanted: dict[str, set[str] | None] = {place: {params.analysed}}
+    if whole_market:
+        wanted[baseline_place] = None
+    else:
+        wanted.setdefault(baseline_place, set()).add(params.baseline)
+    cells = _kept_cells(star, attributes, params.scope, wanted, reuse_cells)
+    chosen = {name: params.options.get(name, ()) for name in option_dimensions(params.feature)}
     return Sides.build(
         cells[place],
         cells[baseline_place],
@@ -118,7 +123,8 @@ def rank_sides(
 ) -> Sides:
     """Cells of every place against those of the whole market, feature filters applied."""
     place = DMA if params.level == DMA_LEVEL else REGION
-    cells = _kept_cells(star, attributes, params.scope, {place, REGION}, reuse_cells, True)
+    wanted = {place: set(params.places), REGION: None}
+    cells = _kept_cells(star, attributes, params.scope, wanted, reuse_cells, True)
     in_scope = _feature_filter(attributes, params, product_info)
     return Sides.build(cells[place], cells[REGION], place, params.places, in_scope)
 
@@ -176,13 +182,18 @@ def _kept_cells(
     star: StarTables,
     attributes: DataFrame,
     scope: Scope,
-    places: set[str],
+    wanted: Mapping[str, set[str] | None],
     reuse_cells: bool,
     include_overseas: bool = False,
 ) -> dict[str, DataFrame]:
-    """Aligned cells of each place level, written once if they are to be reused."""
-    cells = {
-        place: aligned_cells(star, attributes, scope, place, include_overseas)
-        for place in sorted(places)
-    }
+    """Aligned cells of each place level, written once if they are to be reused.
+
+    Levels of which only some places are wanted are filtered before anything is read: the filter
+    is on a grouping key, so Spark takes it down to the scans.  None stands for the whole market.
+    """
+    cells = {}
+    for place, names in wanted.items():
+        cells[place] = aligned_cells(star, attributes, scope, place, include_overseas)
+        if names is not None:
+            cells[place] = cells[place].filter(F.col(place).isin(*sorted(names)))
     return materialise_levels(cells) if reuse_cells else cells

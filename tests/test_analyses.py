@@ -11,6 +11,7 @@ from geoaffinity.params import (
     CompareParams,
     FactParams,
     RankParams,
+    Scope,
     Thresholds,
     TwoFeatures,
 )
@@ -195,6 +196,24 @@ def test_dma_with_conversion_against_a_region(spark):
     assert row["p_value"] is None and row["p_note"].startswith("Sample size too small")
 
 
+def test_the_australian_market(spark):
+    star = hm.star(
+        spark,
+        skus=[hm.sku("A")],
+        orders=[hm.order("1", "AU Perth", market="AU"), hm.order("2"), hm.order("3", "AU Sydney", market="AU")],
+        lines=[hm.line(n, "A", 100) for n in "123"],
+        views=[hm.view("A", 4, "AU Perth", market="AU"), hm.view("A", 9), hm.view("A", 1, "AU Sydney", market="AU")],
+        costs=[{**hm.cost("A", 10), "market": "AU"}, hm.cost("A", 1000)],
+    )
+    scope = Scope("AU", SCOPE.start, SCOPE.end)
+    params = CompareParams(scope, "AU Perth", "AU All", "category", thresholds=OPEN)
+    (row,) = compare(star, params).collect()
+    assert (row["rev_per_dv_analysed"], row["rev_per_dv_baseline"]) == (25, 40)
+    assert row["country_total_cost_per_sku"] == 10
+    ranked = rank_places(star, RankParams(scope, thresholds=OPEN)).collect()
+    assert [r["Region"] for r in ranked] == ["AU Sydney", "AU Perth"]
+
+
 def test_empty_input_gives_an_empty_result(spark):
     star = hm.star(spark)
     params = CompareParams(SCOPE, "US West", "US All", "category", thresholds=OPEN)

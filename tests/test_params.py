@@ -23,6 +23,11 @@ def test_end_before_start_is_refused():
         Scope("US", dt.date(2024, 1, 2), dt.date(2024, 1, 1))
 
 
+def test_times_are_refused_as_dates():
+    with pytest.raises(ValueError, match="plain dates"):
+        Scope("US", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))
+
+
 def test_default_period_starts_with_the_year():
     assert Scope().start == dt.date(dt.date.today().year, 1, 1)
     assert Scope().end == dt.date.today()

@@ -8,7 +8,8 @@ from geoaffinity.catalog.queries import QUERIES, SCOPE, Fixture
 from geoaffinity.operators import measures as m
 from geoaffinity.operators.cells import order_cells, sku_attributes
 from geoaffinity.params import CompareParams, RankParams, Thresholds, TwoFeatures
-from geoaffinity.plans.analyses import compare, rank_places
+from geoaffinity.plans.analyses import compare, compare_sides, rank_places
+from geoaffinity.schemas import STAR_SCHEMAS
 from geoaffinity.sources.star import read_parquet_star
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,6 +57,21 @@ def test_lines_are_summed_before_they_are_shuffled_and_orders_counted_in_place(s
     assert "ReadSchema: struct<spree_so_id:string,market_sku:string,sale_amount:decimal(18,4),quantity:bigint>" in scan
 
 
+def test_only_the_compared_places_are_read(spark, fixture, tmp_path):
+    star = fixture.star
+    for name in STAR_SCHEMAS:
+        getattr(star, name).write.parquet(f"{tmp_path}/{name}")
+    stored = read_parquet_star(spark, str(tmp_path))
+    params = CompareParams(SCOPE, "US West", "US East", "category")
+    whole = CompareParams(SCOPE, "US West", "US All", "category")
+    for asked, filtered in ((params, True), (whole, False)):
+        sides = compare_sides(stored, sku_attributes(stored), asked, reuse_cells=False)
+        optimised = sides.baseline._jdf.queryExecution().optimizedPlan().toString()
+        for fact in ("shipping_zip_code", "add_to_cart"):
+            above = optimised[: optimised.index(fact)].splitlines()[-2]
+            assert ("US East" in above) == filtered
+
+
 def test_date_range_reaches_the_scan(spark, fixture, tmp_path):
     fixture.star.fact_saleorder.write.parquet(f"{tmp_path}/fact_saleorder")
     filtered = spark.read.parquet(f"{tmp_path}/fact_saleorder").filter(
