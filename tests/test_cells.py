@@ -136,7 +136,13 @@ def test_country_alignment_drops_days_that_only_have_cost(spark):
     star = aligned_star(spark)
     cells = aligned_country_cells(star, sku_attributes(star), SCOPE)
     found = {
-        key: (float(r["total_revenue"]), r["total_order"], r["total_detailview"], r["atc"], float(r["country_total_cost"]))
+        key: (
+            float(r["total_revenue"]),
+            r["total_order"],
+            r["total_detailview"],
+            r["atc"],
+            float(r["country_total_cost"]),
+        )
         for key, r in rows(cells, "market_sku", "order_date").items()
     }
     assert found == {

@@ -50,7 +50,6 @@ def open_params():
 def test_stars_written_as_files_and_as_catalog_tables_read_the_same(spark, tmp_path):
     star = small_star(spark)
     expected = compare(star, open_params()).collect()
-    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
     for name in STAR_SCHEMAS:
         table = getattr(star, name)
         suffix = ".parquet" if name.startswith("dim_") else ""
