@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoaffinity.llm import bpe_words, mixing, quality_rules, token_counts
+from geoaffinity.llm import bpe_words, html_crf, mixing, quality_rules, token_counts, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return bpe_words.encode_and_decode(docs, _tokenizer("word_bpe_49k.json"))
@@ -37,11 +41,17 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))
 
 
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_crf.extract_pages(_table(spark, folder, "pages"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe_codes": op6_bpe_codes,
     "op7_source_mix": op7_source_mix,
+    "op9_main_text": op9_main_text,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {}
