@@ -6,26 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoaffinity.llm import bpe_words, html_crf, mixing, quality_rules, token_counts, toxicity
+from geoaffinity.llm import (
+    bpe_words,
+    html_crf,
+    jaccard_join,
+    mixing,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_lines(_table(spark, folder, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"))
+    return token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json"))
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +47,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return bpe_words.encode_and_decode(docs, _tokenizer("word_bpe_49k.json"))
+    return bpe_words.encode_and_decode(docs, tokenizer("word_bpe_49k.json"))
 
 
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,13 +58,19 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_crf.extract_pages(_table(spark, folder, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codes": op6_bpe_codes,
     "op7_source_mix": op7_source_mix,
     "op9_main_text": op9_main_text,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {}

@@ -212,3 +212,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     return docs.select(
         docs["doc_id"].cast("long"), docs["text"].cast("string"), (crc_fold() == 0).alias("held_out")
     ).mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs whose text is not predicted toxic, with all columns as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, fit_rows))
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        flags = np.zeros(1 << BITS, bool)
+        flags[model.value.kept] = True
+        return pd.Series([model.value.score(kept_buckets(text, flags)) >= 0.5 for text in texts])
+
+    return docs.filter(~toxic(docs["text"].cast("string")))
