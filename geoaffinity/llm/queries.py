@@ -10,6 +10,7 @@ from geoaffinity.llm import (
     bpe_words,
     html_crf,
     jaccard_join,
+    kmeans_tree,
     mixing,
     quality_rules,
     suffix_dedup,
@@ -41,6 +42,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans_tree.search(_table(spark, folder, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -66,6 +71,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codes": op6_bpe_codes,
     "op7_source_mix": op7_source_mix,
