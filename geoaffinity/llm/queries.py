@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geoaffinity.llm import (
     bpe_words,
+    context_mixing,
     html_crf,
     jaccard_join,
     kmeans_tree,
@@ -59,6 +60,10 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))
 
 
+def op8_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score_texts(_table(spark, folder, "documents"))
+
+
 def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_crf.extract_pages(_table(spark, folder, "pages"))
 
@@ -75,6 +80,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codes": op6_bpe_codes,
     "op7_source_mix": op7_source_mix,
+    "op8_context_mixing": op8_context_mixing,
     "op9_main_text": op9_main_text,
     "op10_jaccard_join": op10_jaccard_join,
 }
