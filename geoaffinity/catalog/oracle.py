@@ -7,6 +7,7 @@ continued fraction.
 
 from __future__ import annotations
 
+# Places and attributes that the results name.
 START, END = "2024-01-01", "2024-01-30"
 DMAS = (
     "New York, NY",
@@ -60,20 +61,21 @@ fact_saleorder AS (
   FROM orders JOIN home ON o_custkey = c_custkey),
 fact_saleorderline AS (
   SELECT spree_so_id, market, order_date,
-    market || '-' || lpad(CAST(l_partkey % 100 AS VARCHAR), 2, '0') AS market_sku,
+    market || '-' || CAST(l_partkey AS VARCHAR) AS market_sku,
     CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS sale_amount,
     CAST(l_quantity AS BIGINT) AS quantity,
     CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_tax AS DECIMAL(4,2)) AS cost
   FROM lineitem JOIN fact_saleorder ON CAST(l_orderkey AS VARCHAR) = spree_so_id),
 product_view AS (
   SELECT market, CAST(ts AS DATE) AS order_date, region, metro,
-    market || '-' || lpad(CAST(json_extract(props, '$.k') AS VARCHAR), 2, '0') AS market_sku,
+    market || '-' || CAST(CAST(json_extract(props, '$.k') AS INTEGER)
+      + 100 * (user_id % greatest(1, (SELECT count(*) // 100 FROM part))) AS VARCHAR) AS market_sku,
     CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS product_view,
     CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS add_to_cart
   FROM events JOIN home ON user_id = c_custkey WHERE event_type IN ('view', 'click')),
 dim_sku AS (
   SELECT market, p_size, p_partkey // 4 AS spu,
-    market || '-' || lpad(CAST(p_partkey AS VARCHAR), 2, '0') AS market_sku,
+    market || '-' || CAST(p_partkey AS VARCHAR) AS market_sku,
     p_name || ' ' || CAST(p_partkey AS VARCHAR) AS sku_name,
     market || '-SPU-' || CAST(p_partkey // 4 AS VARCHAR) AS market_spu,
     'Family ' || CAST(p_partkey // 4 AS VARCHAR) AS spu_name,
@@ -82,7 +84,7 @@ dim_sku AS (
     CASE WHEN p_brand = 'Brand#25' THEN 'Accident Protection Plan' ELSE p_brand END AS subcategory,
     split_part(p_name, ' ', 2) AS collection,
     split_part(p_name, ' ', 1) AS color_tone
-  FROM part CROSS JOIN (VALUES ('US'), ('AU')) AS m(market) WHERE p_partkey < 100),
+  FROM part CROSS JOIN (VALUES ('US'), ('AU')) AS m(market)),
 sku_material AS (
   SELECT market_sku, CASE p_size % 3 WHEN 0 THEN 'Wood' ELSE 'Metal' END AS value
   FROM dim_sku WHERE p_size % 3 IN (0, 1)),
@@ -354,10 +356,11 @@ _TESTED = f"""round(p_value, 6) AS p_value,
 
 
 def _compare(
-    place: str, analysed: str, baseline: str, feature: str, metric: str, rank: str = "DESC", limit: int = 30
+    place: str, analysed: str, baseline: str, feature: str, metric: str, rank: str = "DESC", limit: int = 30,
+    keep: str = "true",
 ) -> str:
     parts = [
-        *_sides(place, [analysed], baseline),
+        *_sides(place, [analysed], baseline, keep=keep),
         *_comparison(place, feature, metric),
         *_welch(place, feature, metric),
     ]
@@ -617,6 +620,15 @@ UNION ALL SELECT 'region_baseline', category, feature_value, order_date, value F
     "compare_dma_vs_region_cr": _compare("dma", _NY[0], "US East", "category", "cr"),
     "compare_dma_vs_all_rev": _compare("dma", _NY[0], "US All", "material_helper", "rev"),
     "compare_dma_vs_all_cr": _compare("dma", _NY[0], "US All", "category", "cr"),
+    "compare_region_options": _compare("region", "US West", "US All", "category", "rev", keep=_CHOSEN),
+    "compare_color_tone_options": _compare(
+        "region", "US West", "US East", "color_tone", "cr", keep=f"{_CHOSEN} AND {_offered('color_tone')}"
+    ),
+    "compare_dma_region_options": _compare("dma", _NY[0], "US East", "category", "cr", keep=_CHOSEN),
+    "compare_blank_options": _compare(
+        "region", "US West", "US All", "material_helper", "rev",
+        keep=_offered("category", "subcategory", "collection", "material_helper"),
+    ),
     "compare_sku_labels": _compare("region", "US West", "US All", "market_sku", "rev", limit=100),
     "compare_spu_labels": _compare("region", "US West", "US All", "market_spu", "rev", limit=100),
     "welch_region_rev": _welch_table(*_WEST, "collection", "rev"),

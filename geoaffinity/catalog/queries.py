@@ -53,7 +53,7 @@ from geoaffinity.params import (
     TwoFeatures,
 )
 from geoaffinity.plans import analyses
-from geoaffinity.sources.product_lists import of_market, option_lists, option_values
+from geoaffinity.sources.product_lists import of_market, option_lists
 from geoaffinity.sources.tpch_star import tpch_product_info, tpch_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +141,12 @@ def _compare(*args, **other):
     return lambda fx: analyses.compare(fx.star, params)
 
 
+def _compare_listed(*args, **other):
+    """With option filters on both sides; a blank option means all values of the US products."""
+    params = _compare_params(*args, **other)
+    return lambda fx: analyses.compare(fx.star, params, fx.us_lists)
+
+
 def _rank(level: str, metric: str, features: TwoFeatures = TwoFeatures()):
     params = RankParams(SCOPE, features, metric, level)
     return lambda fx: analyses.rank_places(fx.star, params, fx.product_info)
@@ -176,13 +182,13 @@ def _order_share(by_category: bool):
 
 
 def _option_list(fx: Fixture) -> DataFrame:
-    rows = None
-    for dimension, offered in fx.us_lists.items():
-        part = option_values(offered, dimension).selectExpr(
-            f"'{dimension}' AS dimension", f"{dimension} AS value"
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    pairs = ", ".join(f"'{dimension}', {dimension}" for dimension in FEATURES)
+    return (
+        of_market(fx.product_info, "US")
+        .selectExpr(f"stack({len(FEATURES)}, {pairs}) AS (dimension, value)")
+        .filter("value IS NOT NULL")
+        .distinct()
+    )
 
 
 def _ratios(fx: Fixture) -> DataFrame:
@@ -301,6 +307,10 @@ _BUILDERS: dict[str, Callable[[Fixture], DataFrame]] = {
     "compare_dma_vs_all_cr": _compare(NEW_YORK, ALL, "category", CR),
     "compare_sku_labels": _compare(WEST, ALL, "market_sku", REV_PER_DV, limit=100),
     "compare_spu_labels": _compare(WEST, ALL, "market_spu", REV_PER_DV, limit=100),
+    "compare_region_options": _compare_listed(WEST, ALL, "category", REV_PER_DV, options=CHOSEN),
+    "compare_color_tone_options": _compare_listed(WEST, EAST, "color_tone", CR, options=CHOSEN),
+    "compare_dma_region_options": _compare_listed(NEW_YORK, EAST, "category", CR, options=CHOSEN),
+    "compare_blank_options": _compare_listed(WEST, ALL, "material_helper", REV_PER_DV),
     # tests
     "welch_region_rev": _welch_compare(WEST, ALL, "collection", REV_PER_DV),
     "welch_region_cr": _welch_compare(WEST, EAST, "collection", CR),

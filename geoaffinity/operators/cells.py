@@ -1,14 +1,15 @@
 """Daily cells: facts aggregated to (market SKU, place, day).
 
 Facts are reduced to cells before any dimension is joined.  A cell table has at most
-SKUs x places x days rows, so the dimension joins never shuffle fact rows, and a SKU, place or
-order that holds a large part of the fact is folded by the partial aggregation on the map side.
+SKUs x places x days rows, so the dimension joins never shuffle fact rows, and a SKU or place
+that holds a large part of the fact is folded by the partial aggregation on the map side.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from geoaffinity.params import DMAS, Scope
 from geoaffinity.schemas import (
@@ -20,6 +21,7 @@ from geoaffinity.schemas import (
 )
 from geoaffinity.sources.star import StarTables
 
+UTC_NAMES = frozenset({"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "UCT", "Zulu", "+00:00"})
 REGION, DMA, COUNTRY = "region", "dma", None
 
 
@@ -51,9 +53,25 @@ def in_period(day: str, scope: Scope) -> str:
     return f"{day} BETWEEN DATE'{scope.start}' AND DATE'{scope.end}'"
 
 
+def check_zone(star: StarTables) -> None:
+    """Raise if orders carry a time zone and the session's is not the warehouse's.
+
+    The day of such a time depends on the session. Times without zone are taken as they are.
+    """
+    orders = star.fact_saleorder
+    kind = orders.schema["payment_completion_time"].dataType
+    zone = orders.sparkSession.conf.get("spark.sql.session.timeZone")
+    same = zone == star.zone or {zone, star.zone} <= UTC_NAMES
+    if isinstance(kind, TimestampType) and not same:
+        raise ValueError(
+            f"orders carry zoned times of {star.zone}: set spark.sql.session.timeZone to it, not {zone}"
+        )
+
+
 def sales_orders(star: StarTables, scope: Scope) -> DataFrame:
     """Completed web orders for goods of one market and period."""
     day = "to_date(payment_completion_time)"
+    check_zone(star)
     return star.fact_saleorder.filter(
         f"""spree_channel = 'web' AND market = '{scope.market}'
         AND classification = 'complete' AND order_type = 'Goods'
@@ -75,13 +93,15 @@ def place_orders(star: StarTables, orders: DataFrame, place: str | None) -> Data
 
 
 def order_measures(star: StarTables, scope: Scope, place: str | None) -> DataFrame:
-    """Revenue, quantity and number of orders per SKU, place and day, without attributes."""
-    lines = star.fact_saleorderline.groupBy("spree_so_id", "market_sku").agg(
-        F.sum("sale_amount").alias("sale_amount"), F.sum("quantity").alias("quantity")
-    )
+    """Revenue, quantity and number of orders per SKU, place and day, without attributes.
+
+    Lines meet their orders first, in one shuffle by order number (none if both are bucketed by
+    it), so lines of other periods and markets go no further. Spark splits the partition of an
+    order that holds a large part of all lines.
+    """
     placed = place_orders(star, sales_orders(star, scope), place)
     return (
-        lines.join(placed, "spree_so_id")
+        star.fact_saleorderline.join(placed, "spree_so_id")
         .groupBy("market_sku", *_place_columns(place), "order_date")
         .agg(
             F.sum("sale_amount").alias("total_revenue"),

@@ -1,8 +1,8 @@
 """Compare, rank and country fact table: from star tables and parameters to a result table.
 
-Each analysis reduces the facts to aligned daily cells once, writes those cells (see
-``materialise``) and derives everything else from them.  ``reuse_cells=False`` leaves the whole
-analysis one lazy plan.
+Each analysis reduces the facts to aligned daily cells and derives everything else from them.
+With a ``store`` the cells are written there first, by a job of their own, so that facts are read
+once; without one the whole analysis is one lazy plan.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from geoaffinity.params import (
     Scope,
     option_dimensions,
 )
-from geoaffinity.plans.materialise import materialise, materialise_levels
+from geoaffinity.plans.materialise import CellStore
 from geoaffinity.sources.product_lists import of_market, option_lists
 from geoaffinity.sources.star import StarTables
 
@@ -68,7 +68,7 @@ def compare_sides(
     attributes: DataFrame,
     params: CompareParams,
     lists: Mapping[str, DataFrame] | None = None,
-    reuse_cells: bool = True,
+    store: CellStore | None = None,
 ) -> Sides:
     """Analysed and baseline cells of a comparison, option filters applied."""
     place = DMA if params.level == DMA_LEVEL else REGION
@@ -81,7 +81,7 @@ def compare_sides(
         wanted[baseline_place] = None
     else:
         wanted.setdefault(baseline_place, set()).add(params.baseline)
-    cells = _kept_cells(star, attributes, params.scope, wanted, reuse_cells)
+    cells = _kept_cells(star, attributes, params.scope, wanted, store)
     chosen = {name: params.options.get(name, ()) for name in option_dimensions(params.feature)}
     return Sides.build(
         cells[place],
@@ -98,13 +98,13 @@ def compare(
     star: StarTables,
     params: CompareParams,
     lists: Mapping[str, DataFrame] | None = None,
-    reuse_cells: bool = True,
+    store: CellStore | None = None,
     literal_days: bool = False,
 ) -> DataFrame:
     """Features of one place ranked by weighted lift over the baseline, with p-values."""
     feature, metric = params.feature, params.metric
     attributes = sku_attributes(star)
-    sides = compare_sides(star, attributes, params, lists, reuse_cells)
+    sides = compare_sides(star, attributes, params, lists, store)
     costs = cost_cells(star, attributes, params.scope)
     rows = gated(compare_features(sides, costs, feature, metric), params.thresholds, metric)
     rows = m.with_label(rows, attributes, feature)
@@ -119,12 +119,12 @@ def rank_sides(
     attributes: DataFrame,
     params: RankParams,
     product_info: DataFrame | None = None,
-    reuse_cells: bool = True,
+    store: CellStore | None = None,
 ) -> Sides:
     """Cells of every place against those of the whole market, feature filters applied."""
     place = DMA if params.level == DMA_LEVEL else REGION
     wanted = {place: set(params.places), REGION: None}
-    cells = _kept_cells(star, attributes, params.scope, wanted, reuse_cells, True)
+    cells = _kept_cells(star, attributes, params.scope, wanted, store, True)
     in_scope = _feature_filter(attributes, params, product_info)
     return Sides.build(cells[place], cells[REGION], place, params.places, in_scope)
 
@@ -133,13 +133,13 @@ def rank_places(
     star: StarTables,
     params: RankParams,
     product_info: DataFrame | None = None,
-    reuse_cells: bool = True,
+    store: CellStore | None = None,
     literal_days: bool = False,
 ) -> DataFrame:
     """Every place's features against the whole market, grouped by feature, best place first."""
     feature, metric = params.features.analysed, params.metric
     attributes = sku_attributes(star)
-    sides = rank_sides(star, attributes, params, product_info, reuse_cells)
+    sides = rank_sides(star, attributes, params, product_info, store)
     costs = cost_cells(star, attributes, params.scope)
     rows = gated(compare_features(sides, costs, feature, metric), params.thresholds, metric)
     rows = m.with_label(rows, attributes, feature)
@@ -156,13 +156,13 @@ def country_fact_table(
     star: StarTables,
     params: FactParams,
     product_info: DataFrame | None = None,
-    reuse_cells: bool = True,
+    store: CellStore | None = None,
 ) -> DataFrame:
     """Country-wide facts of the chosen features in descending order of the metric."""
     attributes = sku_attributes(star)
     cells = aligned_country_cells(star, attributes, params.scope)
-    if reuse_cells:
-        cells = materialise(cells)
+    if store is not None:
+        cells = store.write(cells)
     in_scope = _feature_filter(attributes, params, product_info)
     return fact_table(cells, attributes, params, in_scope)
 
@@ -183,10 +183,10 @@ def _kept_cells(
     attributes: DataFrame,
     scope: Scope,
     wanted: Mapping[str, set[str] | None],
-    reuse_cells: bool,
+    store: CellStore | None,
     include_overseas: bool = False,
 ) -> dict[str, DataFrame]:
-    """Aligned cells of each place level, written once if they are to be reused.
+    """Aligned cells of each place level, written once if there is a store.
 
     Levels of which only some places are wanted are filtered before anything is read: the filter
     is on a grouping key, so Spark takes it down to the scans.  None stands for the whole market.
@@ -196,4 +196,4 @@ def _kept_cells(
         cells[place] = aligned_cells(star, attributes, scope, place, include_overseas)
         if names is not None:
             cells[place] = cells[place].filter(F.col(place).isin(*sorted(names)))
-    return materialise_levels(cells) if reuse_cells else cells
+    return cells if store is None else store.write_levels(cells)

@@ -1,56 +1,59 @@
-"""Write a table that several branches of an analysis read, so that facts are scanned once."""
+"""Cells written to a folder that the caller names, read by several branches of an analysis."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's checkpoint folder; a temporary one of our own only on local masters."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="geoaffinity-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    return None
+class CellStore:
+    """Writes cell tables as Parquet below a folder that all executors share.
 
-
-def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a reader of what was written.
-
-    Unlike a cache the written table survives the loss of executors, is read by column, and has a
-    known size from which Spark can tell whether a broadcast pays.  Where a cluster names no
-    shared folder the lazy plan itself is returned: still right, only computed once per branch.
+    Unlike a cache a written table survives the loss of executors, is read by column, and has a
+    known size from which Spark can tell whether a broadcast pays.  Writing starts a job when the
+    analysis is called.  Use it as a context manager around the writing of the result: its tables
+    are removed at the end.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/cells-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
-def materialise_levels(levels: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Write the cells of several place levels, keyed by their place column, in one job.
-
-    As parts of one plan the levels share what they have in common, above all the shuffle of the
-    order lines, which then is read and moved once for all of them.
-    """
-    tagged = [
-        cells.withColumnRenamed(place, "place").selectExpr("*", f"'{place}' AS level")
-        for place, cells in levels.items()
-    ]
-    union = tagged[0]
-    for part in tagged[1:]:
-        union = union.unionByName(part)
-    written = materialise(union, "level")
-    return {
-        place: written.filter(f"level = '{place}'").drop("level").withColumnRenamed("place", place)
-        for place in levels
-    }
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark = spark
+        self.path = f"{folder.rstrip('/')}/cells-{uuid.uuid4().hex}"
+        self._tables = 0
+
+    def __enter__(self) -> CellStore:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove()
+
+    def remove(self) -> None:
+        """Delete the store's own tables; the folder itself stays."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def write(self, df: DataFrame, *partition_by: str) -> DataFrame:
+        """Write ``df`` and return a reader of what was written."""
+        self._tables += 1
+        path = f"{self.path}/{self._tables}"
+        df.write.partitionBy(*partition_by).parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def write_levels(self, levels: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write the cells of several place levels, keyed by their place column, in one job.
+
+        As parts of one plan the levels share what they have in common, above all the shuffle of
+        the order lines, which then is read and moved once for all of them.
+        """
+        tagged = [
+            cells.withColumnRenamed(place, "place").selectExpr("*", f"'{place}' AS level")
+            for place, cells in levels.items()
+        ]
+        union = tagged[0]
+        for part in tagged[1:]:
+            union = union.unionByName(part)
+        written = self.write(union, "level")
+        return {
+            place: written.filter(f"level = '{place}'").drop("level").withColumnRenamed("place", place)
+            for place in levels
+        }

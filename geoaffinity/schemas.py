@@ -80,6 +80,7 @@ OPTION_SHEET_SCHEMAS = {
     "material_helper": _struct(material_helper=_STRING),
 }
 
+# The attributes of a product, by the names stored in the warehouse.
 ATTRIBUTES = (
     "sku_name",
     "market_spu",

@@ -10,10 +10,14 @@ from geoaffinity.schemas import FACT_TABLES, STAR_SCHEMAS, conform
 
 
 class StarTables:
-    """The star's tables by name; a table is opened when it is first asked for."""
+    """The star's tables by name; a table is opened when it is first asked for.
 
-    def __init__(self, read: Callable[[str], DataFrame]):
+    zone: the warehouse's time zone, in which zoned order times are turned into days.
+    """
+
+    def __init__(self, read: Callable[[str], DataFrame], zone: str = "UTC"):
         self._read = read
+        self.zone = zone
         self._opened: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -24,19 +28,21 @@ class StarTables:
         return self._opened[name]
 
 
-def read_parquet_star(spark: SparkSession, folder: str) -> StarTables:
+def read_parquet_star(spark: SparkSession, folder: str, zone: str = "UTC") -> StarTables:
     """Tables stored as ``<folder>/<table>`` or ``<folder>/<table>.parquet``."""
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}{{,.parquet}}")
 
-    return StarTables(read)
+    return StarTables(read, zone)
 
 
-def read_catalog_star(spark: SparkSession, database: str | None = None) -> StarTables:
+def read_catalog_star(
+    spark: SparkSession, database: str | None = None, zone: str = "UTC"
+) -> StarTables:
     """Tables of a catalog database; bucketing by order number saves the order join's shuffle."""
     prefix = f"{database}." if database else ""
-    return StarTables(lambda name: spark.table(prefix + name))
+    return StarTables(lambda name: spark.table(prefix + name), zone)
 
 
 def read_jdbc_star(
@@ -44,6 +50,7 @@ def read_jdbc_star(
     url: str,
     properties: Mapping[str, str],
     fact_predicates: Mapping[str, Sequence[str]],
+    zone: str = "UTC",
 ) -> StarTables:
     """Tables of a SQL warehouse.
 
@@ -63,4 +70,4 @@ def read_jdbc_star(
             properties=dict(properties),
         )
 
-    return StarTables(read)
+    return StarTables(read, zone)

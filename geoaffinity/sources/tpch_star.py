@@ -26,7 +26,8 @@ _NATION_DMAS = {
     5: "San Francisco-Oakland-San Jose CA",
     3: "Seattle-Tacoma WA",
 }
-_CATALOG_SIZE = 100
+# The views name one of this many products; they are spread over all products by user.
+_VIEWED_NUMBERS = 100
 _PERIOD_DAYS = 30
 
 
@@ -47,7 +48,7 @@ def _case(key: str, mapping: dict, default: str) -> str:
 
 
 def _code(number: str) -> str:
-    return f"market || '-' || lpad(CAST({number} AS STRING), 2, '0')"
+    return f"market || '-' || CAST({number} AS STRING)"
 
 
 class _Source:
@@ -89,7 +90,7 @@ class _Source:
                 "CAST(o_orderkey AS STRING) AS spree_so_id",
                 "market",
                 "region",
-                f"CAST(date_add(DATE'2024-01-01', {days}) AS TIMESTAMP) AS payment_completion_time",
+                f"CAST(date_add(DATE'2024-01-01', {days}) AS TIMESTAMP_NTZ) AS payment_completion_time",
                 "IF(o_orderpriority = '5-LOW', 'app', 'web') AS spree_channel",
                 "IF(o_orderstatus = 'P', 'pending', 'complete') AS classification",
                 "'Goods' AS order_type",
@@ -113,7 +114,7 @@ class _Source:
             self._read("lineitem")
             .selectExpr(
                 "CAST(l_orderkey AS STRING) AS spree_so_id",
-                f"l_partkey % {_CATALOG_SIZE} AS k",
+                "l_partkey AS k",
                 f"{cents} * (100 - {percent.format('l_discount')}) AS sale_amount",
                 "CAST(l_quantity AS BIGINT) AS quantity",
                 f"{cents} * {percent.format('l_tax')} AS cost",
@@ -155,13 +156,18 @@ class _Source:
 
     @cached_property
     def _onsite(self) -> DataFrame:
-        """Views and clicks per user, product and day, then placed by the user's home."""
+        """Views and clicks per user, product and day, then placed by the user's home.
+
+        A user's views of number k are views of product k + 100 j, where j depends on the user, so
+        that every product has views at every scale.
+        """
+        spread = max(1, self._read("part").count() // _VIEWED_NUMBERS)
         return (
             self._read("events")
             .filter("event_type IN ('view', 'click')")
             .selectExpr(
                 "user_id",
-                "CAST(get_json_object(props, '$.k') AS INT) AS k",
+                f"CAST(get_json_object(props, '$.k') AS INT) + {_VIEWED_NUMBERS} * pmod(user_id, {spread}) AS k",
                 "to_date(ts) AS date",
                 "event_type",
             )
@@ -200,7 +206,6 @@ class _Source:
     def dim_sku(self) -> DataFrame:
         return (
             self._read("part")
-            .filter(f"p_partkey < {_CATALOG_SIZE}")
             .selectExpr("*", "p_partkey div 4 AS spu", "explode(array('US', 'AU')) AS market")
             .selectExpr(
                 "p_size",

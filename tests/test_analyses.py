@@ -15,6 +15,7 @@ from geoaffinity.params import (
     Thresholds,
     TwoFeatures,
 )
+from geoaffinity.plans.materialise import CellStore
 from geoaffinity.plans.analyses import aligned_cells, compare, country_fact_table, rank_places
 from tests import handmade as hm
 from tests.handmade import MAY, SCOPE, rows
@@ -220,10 +221,11 @@ def test_empty_input_gives_an_empty_result(spark):
     assert compare(star, params).collect() == []
 
 
-def test_one_lazy_plan_gives_the_same_result(shop):
+def test_written_cells_give_the_same_result_as_one_lazy_plan(spark, shop, tmp_path):
     params = CompareParams(SCOPE, "US West", "US East", "market_sku", thresholds=OPEN)
-    once = compare(shop, params).collect()
-    assert compare(shop, params, reuse_cells=False).collect() == once
+    lazy = compare(shop, params).collect()
+    with CellStore(spark, str(tmp_path)) as store:
+        assert compare(shop, params, store=store).collect() == lazy
 
 
 def test_ranking_all_regions_agrees_with_comparing_each(shop):

@@ -3,14 +3,15 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from geoaffinity.catalog.queries import QUERIES, SCOPE, Fixture
 from geoaffinity.operators import measures as m
-from geoaffinity.operators.cells import order_cells, sku_attributes
+from geoaffinity.operators.cells import order_cells, sales_orders, sku_attributes
 from geoaffinity.params import CompareParams, RankParams, Thresholds, TwoFeatures
 from geoaffinity.plans.analyses import compare, compare_sides, rank_places
 from geoaffinity.schemas import STAR_SCHEMAS
-from geoaffinity.sources.star import read_parquet_star
+from geoaffinity.sources.star import StarTables, read_catalog_star, read_parquet_star
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,7 +39,7 @@ def test_alignment_needs_no_join_and_no_further_shuffle(spark, fixture):
     assert "Exchange" not in above_union and "Join" not in above_union
 
 
-def test_lines_are_summed_before_they_are_shuffled_and_orders_counted_in_place(spark, fixture, tmp_path):
+def test_lines_are_shuffled_once_and_only_as_needed(spark, fixture, tmp_path):
     star = fixture.star
     for name in ("fact_saleorder", "fact_saleorderline", "dim_sku", "dim_sku_property", "dim_spu_property"):
         getattr(star, name).write.parquet(f"{tmp_path}/{name}")
@@ -51,12 +52,55 @@ def test_lines_are_summed_before_they_are_shuffled_and_orders_counted_in_place(s
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", shown)
     fact_keys = [re.sub(r"#\d+", "", k) for k in keys if "spree_so_id" in k]
-    assert sorted(fact_keys) == ["spree_so_id", "spree_so_id", "spree_so_id, market_sku"]
+    assert fact_keys == ["spree_so_id", "spree_so_id"]  # the lines and the orders, once each
     assert "PushedFilters: [IsNotNull(spree_channel)" in shown
     scan = next(line for line in shown.splitlines() if "FileScan" in line and "sale_amount" in line)
     assert "ReadSchema: struct<spree_so_id:string,market_sku:string,sale_amount:decimal(18,4),quantity:bigint>" in scan
 
 
+def test_bucketed_facts_are_not_shuffled_by_order(spark, fixture):
+    star = fixture.star
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed_star")
+    for name in ("fact_saleorder", "fact_saleorderline"):
+        getattr(star, name).write.mode("overwrite").bucketBy(4, "spree_so_id").saveAsTable(f"bucketed_star.{name}")
+    for name in ("dim_sku", "dim_sku_property", "dim_spu_property"):
+        getattr(star, name).write.mode("overwrite").saveAsTable(f"bucketed_star.{name}")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = read_catalog_star(spark, "bucketed_star")
+        shown = plan(order_cells(stored, sku_attributes(stored), SCOPE, "region"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP DATABASE bucketed_star CASCADE")
+    assert not [k for k in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", shown) if "spree_so_id" in k]
+
+
+def test_products_are_not_cut(spark):
+    skus = QUERIES["sku_attributes"](spark, FOLDER).count()
+    assert skus == 2 * spark.read.parquet(f"{FOLDER}/part.parquet").count()
+
+
+def test_zoned_order_times_ask_for_the_warehouse_zone(spark, fixture):
+    read = lambda name: (
+        fixture.star.fact_saleorder.withColumn(
+            "payment_completion_time", F.col("payment_completion_time").cast("timestamp")
+        )
+        if name == "fact_saleorder"
+        else getattr(fixture.star, name)
+    )
+    zoned = StarTables(read)
+    expected = sales_orders(fixture.star, SCOPE).count()
+    assert sales_orders(zoned, SCOPE).count() == expected
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="timeZone"):
+            sales_orders(zoned, SCOPE)
+        assert sales_orders(fixture.star, SCOPE).count() == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_only_the_compared_places_are_read(spark, fixture, tmp_path):
     star = fixture.star
     for name in STAR_SCHEMAS:
@@ -65,7 +109,7 @@ def test_only_the_compared_places_are_read(spark, fixture, tmp_path):
     params = CompareParams(SCOPE, "US West", "US East", "category")
     whole = CompareParams(SCOPE, "US West", "US All", "category")
     for asked, filtered in ((params, True), (whole, False)):
-        sides = compare_sides(stored, sku_attributes(stored), asked, reuse_cells=False)
+        sides = compare_sides(stored, sku_attributes(stored), asked)
         optimised = sides.baseline._jdf.queryExecution().optimizedPlan().toString()
         for fact in ("shipping_zip_code", "add_to_cart"):
             above = optimised[: optimised.index(fact)].splitlines()[-2]

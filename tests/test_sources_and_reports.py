@@ -12,7 +12,7 @@ from geoaffinity.functions import text
 from geoaffinity.operators.present import format_basic, format_two_feature
 from geoaffinity.params import CompareParams, FactParams, RankParams, TwoFeatures
 from geoaffinity.plans.analyses import compare
-from geoaffinity.plans.materialise import materialise
+from geoaffinity.plans.materialise import CellStore
 from geoaffinity.schemas import STAR_SCHEMAS
 from geoaffinity.sources.product_lists import (
     of_market,
@@ -163,11 +163,13 @@ def test_csv_report_keeps_order_and_header(spark, tmp_path):
     assert written[0]["Revenue_Analysed"] == "$1,234.50"
 
 
-def test_materialised_table_lies_in_the_shared_folder(spark):
-    written = materialise(spark.range(5).selectExpr("id", "CAST(id AS DECIMAL(28,4)) AS money"))
-    assert spark.conf.get("spark.checkpoint.dir") in written.inputFiles()[0]
-    assert written.dtypes == [("id", "bigint"), ("money", "decimal(28,4)")]
-    assert written.count() == 5
+def test_written_cells_lie_in_the_named_folder_and_are_removed(spark, tmp_path):
+    with CellStore(spark, str(tmp_path)) as store:
+        written = store.write(spark.range(5).selectExpr("id", "CAST(id AS DECIMAL(28,4)) AS money"))
+        assert str(tmp_path) in written.inputFiles()[0]
+        assert written.dtypes == [("id", "bigint"), ("money", "decimal(28,4)")]
+        assert written.count() == 5
+    assert not list(tmp_path.iterdir())
 
 
 def test_dates_are_days_not_strings(spark):
