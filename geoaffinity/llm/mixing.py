@@ -91,8 +91,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     mix = F.sum("target").over(everything)
     return targets.select(
         "source", "rank", "source_size", "target",
-        F.coalesce(F.sum("target").over(below) / mix, F.lit(0.0)).alias("low"),
-        F.coalesce(F.sum("target").over(below.rowsBetween(Window.unboundedPreceding, 0)) / mix, F.lit(0.0)).alias("high"),
+        F.coalesce(F.try_divide(F.sum("target").over(below), mix), F.lit(0.0)).alias("low"),
+        F.coalesce(F.try_divide(F.sum("target").over(below.rowsBetween(Window.unboundedPreceding, 0)), mix), F.lit(0.0)).alias("high"),
         mix.alias("mix_size"),
     )
 
