@@ -52,31 +52,29 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
 
 
-BITMAP_BITS = 1 << 23
+def bitmap_of(keys: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
+    """A bitmap of fixed size (a power of two of bits) of a long column's values, by their low bits.
 
-
-def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size bitmap of the values of a long column, by their low bits.
-
-    Values not in the column may be found in it, never the reverse. It is small whatever the
-    number of values, so it may be collected and broadcast.
+    Values not in the column may be found in it, never the reverse. Its size (2 MB) doesn't depend
+    on the number of values, so it may be collected and broadcast.
     """
-    spark_bits = 1 << 15
-    place = F.pmod(F.col(column), F.lit(BITMAP_BITS))
+    block_bits = 1 << 15
+    place = F.pmod(F.col(column), F.lit(bits))
     rows = (
-        keys.select((place / spark_bits).cast("int").alias("block"), (place % spark_bits).alias("bit"))
+        keys.select((place / block_bits).cast("int").alias("block"), (place % block_bits).alias("bit"))
         .groupBy("block")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        .collect()
+        .toLocalIterator()
     )
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    bitmap = np.zeros(bits // 8, np.uint8)
     for block, found in rows:
-        bits[block * 4096 : (block + 1) * 4096] = np.frombuffer(bytes(found), np.uint8)
-    return np.unpackbits(bits, bitorder="little").astype(bool)
+        bitmap[block * 4096 : (block + 1) * 4096] = np.frombuffer(bytes(found), np.uint8)
+    return bitmap
 
 
 def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return bitmap[values.astype(np.int64) & (BITMAP_BITS - 1)]
+    place = values.astype(np.int64) & (8 * len(bitmap) - 1)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
 def long_rows(names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ from geoaffinity.llm.hashing import WordHashes, bitmap_of, digest, in_bitmap, lo
 
 #: Words of the shortest passage that counts, and of a seed.
 LENGTH, SEED = 50, 8
+#: Bits of the bitmap of seeds that occur again: 8 MB.
+SEED_BITS = 1 << 26
 
 
 def selected(found: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,43 +60,52 @@ def word_digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, digest binary, n_words long")
 
 
-def suffix_seeds(texts: DataFrame) -> DataFrame:
-    """(seed, times): the seed of every kept suffix, counted in each task."""
+def _first_texts(batches: Iterator[pa.RecordBatch], firsts: np.ndarray) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """(doc, words) of the first documents' texts of LENGTH words or more, some at a time."""
+    for ids, texts in columns_of(batches):
+        first = in_bitmap(firsts, np.array(ids, np.int64))
+        found = [(doc, words(text)) for doc, text, asked in zip(ids, texts, first, strict=True) if asked]
+        if found := [(doc, w) for doc, w in found if len(w) >= LENGTH]:
+            yield found
+
+
+def suffix_seeds(docs: DataFrame, firsts: np.ndarray) -> DataFrame:
+    """(seed, times): the seed of every kept suffix, counted in each task.
+
+    firsts: a bitmap of the ids of first documents. A copy found in it by chance takes part too;
+    its passages are repeats of the true first's, as its whole text is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(firsts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for _, batch in columns_of(batches):
+        for texts in _first_texts(batches, shared.value):
             held = []
-            for text in batch:
-                found = words(text)
-                if len(found) >= LENGTH:
-                    seeds, best, _ = selected(found, hashes)
-                    held.append(seeds[np.unique(best)])
-            if held:
-                seeds, times = np.unique(np.concatenate(held), return_counts=True)
-                yield from long_rows(["seed", "times"], [seeds.view(np.int64), times])
+            for _, found in texts:
+                seeds, best, _ = selected(found, hashes)
+                held.append(seeds[np.unique(best)])
+            seeds, times = np.unique(np.concatenate(held), return_counts=True)
+            yield from long_rows(["seed", "times"], [seeds.view(np.int64), times])
 
-    return texts.mapInArrow(rows, "seed long, times long")
+    return docs.mapInArrow(rows, "seed long, times long")
 
 
-def candidate_windows(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def candidate_windows(docs: DataFrame, firsts: np.ndarray, again: np.ndarray) -> DataFrame:
     """(window, doc, start): the windows around suffixes whose seed may occur again."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast((firsts, again))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for ids, batch in columns_of(batches):
+        firsts, again = shared.value
+        for texts in _first_texts(batches, firsts):
             held = []
-            for doc, text in zip(ids, batch, strict=True):
-                found = words(text)
-                if len(found) >= LENGTH:
-                    seeds, best, around = selected(found, hashes)
-                    starts = np.flatnonzero(in_bitmap(shared.value, seeds)[best])
-                    held.append([around[starts].view(np.int64), np.full(len(starts), doc), starts])
-            if held:
-                yield from long_rows(["window", "doc", "start"], [np.concatenate(c) for c in zip(*held, strict=True)])
+            for doc, found in texts:
+                seeds, best, around = selected(found, hashes)
+                starts = np.flatnonzero(in_bitmap(again, seeds)[best])
+                held.append([around[starts].view(np.int64), np.full(len(starts), doc), starts])
+            yield from long_rows(["window", "doc", "start"], [np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return texts.mapInArrow(rows, "window long, doc long, start long")
+    return docs.mapInArrow(rows, "window long, doc long, start long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -123,10 +134,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         (F.col("doc_id") > F.col("first_id")).alias("repeat"),
         F.when(F.col("doc_id") > F.col("first_id"), F.col("first_id")).otherwise(F.col("last_id")).alias("other"),
     )
-    firsts = classes.select(F.col("first_id").alias("doc_id")).distinct()
-    texts = stored(docs.join(firsts, "doc_id", "left_semi"))
-    again = suffix_seeds(texts).groupBy("seed").agg(F.sum("times").alias("times")).filter("times > 1")
-    around = stored(candidate_windows(texts, bitmap_of(again, "seed")).distinct())
+    firsts = bitmap_of(classes, "first_id")
+    again = suffix_seeds(docs, firsts).groupBy("seed").agg(F.sum("times").alias("times")).filter("times > 1")
+    around = stored(candidate_windows(docs, firsts, bitmap_of(again, "seed", SEED_BITS)).distinct())
     runs = around.groupBy("window").agg(
         F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last_doc"), F.count(F.lit(1)).alias("times")
     )
