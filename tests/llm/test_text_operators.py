@@ -1,0 +1,171 @@
+"""Quality rules, token counts, BPE codes, toxicity and page extraction on small tables."""
+
+import hashlib
+import random
+import struct
+import zlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from geoaffinity.llm import bpe_words, html_crf, merges, quality_rules, token_counts, toxicity
+
+BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+DOCS = "doc_id long, text string, lang string, n_words string"
+TEXTS = [
+    None, "", " \n\t ", "one", "a b c d e f g h i j k.\nb c", "x " * 30, "don't <|endoftext|> we'll <|startoftext|>",
+    "ΑΣ ΣΑΣ İstanbul é ẞ", "\x1c\x85\xa0x y", "aaaa" * 400, "日本語。テキスト", "ꟊ ՘ \U00010d50 b",
+    "The cat sat on the mat. " * 20, "Home | About | Contact | Help | More | Shop | Cart\n" * 3,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(n, t, "en", "clash") for n, t in enumerate(TEXTS)] + [(None, "no id at all", None, None), (3, "one", "en", None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def texts_of(docs):
+    return [r["text"] or "" for r in docs.collect()]
+
+
+def test_token_counts_equal_the_library(docs):
+    library = Tokenizer.from_file(BYTE)
+    got = {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.count_tokens(docs, BYTE, 100).collect()}
+    want = set()
+    for row in docs.collect():
+        text = row["text"] or ""
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        want.add((row["doc_id"], len(text.encode()), n, n > 100))
+    assert got == want
+
+
+def test_whole_tokens_are_proved_by_merging():
+    table = merges.read_merges(BYTE)
+    whole = token_counts.prove_whole(table)
+    library = Tokenizer.from_file(BYTE)
+    for text in random.Random(2).sample(sorted(whole), 300):
+        assert table.merge(text.encode()) == [table.ids[library.encode(text, add_special_tokens=False).tokens[0]]] or len(library.encode(text, add_special_tokens=False).ids) > 1
+
+
+def test_long_and_short_merges_agree():
+    table = merges.read_merges(BYTE)
+    chance = random.Random(5)
+    for _ in range(200):
+        word = "".join(chance.choice("aeinorst h") for _ in range(chance.randint(2, 47))).encode()
+        assert merges._merge_long(table.spell(word), table.pairs, table.made) == merges._merge_short(table.spell(word), table.pairs, table.made)
+
+
+def test_codes_equal_the_library(docs):
+    library = Tokenizer.from_file(WORD)
+    got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe_words.encode_and_decode(docs, WORD).collect()}
+    want = set()
+    for row in docs.collect():
+        ids = library.encode(row["text"] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.add((row["doc_id"], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert got == want
+
+
+def test_pair_test_agrees_with_merging():
+    encoder = bpe_words.WordEncoder(WORD)
+    chance = random.Random(3)
+    words = sorted({"".join(chance.choice("aeinorstl") for _ in range(chance.randint(1, 12))) for _ in range(2000)})
+    encoder.learn(words)
+    assert 0 < encoder.exact < len(words)
+    for word in words:
+        assert encoder.known[word][0] == bpe_words.packed(encoder.table.merge(word.encode()))
+
+
+def brute_judge(text):
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 5)}
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_quality_counts_equal_brute_force_and_rules_reject(docs):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    rows = quality_rules.judge_lines(docs).collect()
+    assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(map(brute_judge, texts_of(docs)))
+    kept = "First sentence of a text here. It goes on and on, as texts do, to an end."
+    menu = " | ".join(f"Link{n}" for n in range(20))
+    symbols = " ".join(f"word{n}###" for n in range(20))
+    licence = "Permission is hereby granted to anyone who reads this one line of text to copy it."
+    verdicts = [quality_rules.judge(t)[6] for t in (kept, menu, symbols, licence, kept + "\nSome other words follow in a second line of prose, long enough to outweigh what goes.\n" + licence)]
+    assert verdicts == [True, False, False, False, True]
+
+
+def test_toxicity_learns_words_and_ignores_held_out_labels(spark):
+    chance = random.Random(1)
+    rows, labels = [], []
+    for n in range(400):
+        words = [chance.choice(["river", "stone", "cloud", "meadow", "lamp", "garden"]) for _ in range(30)]
+        toxic = n % 5 == 0
+        if toxic:
+            words[chance.randint(0, 29)] = "vilestword"
+        rows.append((n, " ".join(words), "x"))
+        held_out = zlib.crc32(str(n).encode()) % 5 == 0
+        labels.append((n, int(toxic) if not held_out else 1 - int(toxic)))  # wrong where they must not be read
+    rows += [(None, None, "x"), (9999, "", "x"), (3, rows[3][1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    scored = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(scored) == len(rows)
+    for r in scored:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["predicted"] == int(r["doc_id"] is not None and r["doc_id"] < 400 and r["doc_id"] % 5 == 0)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 5 == 0)
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = toxicity.score_toxicity(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.85 * len(rows)
+
+
+def test_main_text_is_the_article(spark):
+    article = "<article><h1>A &amp; B</h1><p>First   line,\n here.</p><p>Second <b>bo</b>ld.<br>Third.</article>"
+    page = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{}<div class='ad'>Buy this</div><footer>&copy; me</footer><script>var p='</p>';</script></body></html>"
+    rows = [(n, f"u{n}", page.replace("{}", article)) for n in range(30)] + [(None, None, None), (98, "e", ""), (98, "e", "<p"), (99, "b", "<div><p>open <b>tags <nav>x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    found = html_crf.extract_pages(pages).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["n_chars"] == len(r["text"])
+        if r["page_id"] is not None and r["page_id"] < 30:
+            assert r["text"] == "A & B First line, here. Second bold. Third."
+        if r["page_id"] in (None, 98):
+            assert r["text"] == ""
+
+
+def test_markup_of_the_tables_is_found(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in html_crf.extract_pages(pages).collect()}
+    for row in pages.collect():
+        blocks = html_crf.leaf_blocks(row["html"])
+        want = " ".join(b.text for b in blocks if "article" in b.tags)
+        assert found[row["page_id"]] == want
+
+
+@pytest.mark.parametrize("operator", [
+    quality_rules.judge_lines, lambda d: token_counts.count_tokens(d, BYTE), lambda d: bpe_words.encode_and_decode(d, WORD),
+])
+def test_empty_tables_give_empty_results(docs, operator):
+    assert operator(docs.limit(0)).collect() == []
+
+
+def test_empty_tables_for_fitted_operators(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(docs.limit(0), labels).collect() == []
+    assert {r["predicted"] for r in toxicity.score_toxicity(docs, labels).collect()} <= {0, 1}
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_crf.extract_pages(pages).collect() == []
