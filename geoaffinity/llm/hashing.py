@@ -64,7 +64,7 @@ def bitmap_of(keys: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
         keys.select((place / block_bits).cast("int").alias("block"), (place % block_bits).alias("bit"))
         .groupBy("block")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        .toLocalIterator()
+        .collect()
     )
     bitmap = np.zeros(bits // 8, np.uint8)
     for block, found in rows:
