@@ -14,8 +14,9 @@ document is paired with one leader at most, that of its shared prefix shingles w
 stands first in a prefix; verified pairs form first components. All remaining candidates, between
 documents of different components, follow exactly: a shingle whose documents are all in one
 component has none, and elsewhere only documents outside the largest component are paired. A pair
-is left out only if positions prove that it cannot be alike: of the shingles before a shared one
-only those that occur in a second prefix can be common.
+is left out only if it is proved not to be alike, by positions (of the shingles before a shared one
+only those that occur in a second prefix can be common) or by signatures (parities of 256 buckets:
+two sets differ in as many shingles as their signatures differ in bits, at least).
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ from geoaffinity.llm.links import components
 
 WINDOW = 5
 #: Buckets of the frequency table.
-COUNT_BITS = 21
+COUNT_BITS = 20
 #: The largest number of shared shingles that a prefix asks for, and the cost of verifying a pair
 #: in index rows.
 MOST_MATCHES = 4
 VERIFY_COST = 20
 _BLOCK = 1 << 13
+_SIGNATURE = ["s0", "s1", "s2", "s3"]
 
 _SCAN = "doc_id long, digest binary, n_shingles long, block int, counts binary"
 _SCAN_ARROW = pa.schema(
@@ -136,42 +138,68 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, usual: float) -> tuple[np.n
     return shingles[:length], np.maximum(1, np.arange(1, length + 1) - first + 1), m
 
 
-def index_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Rows (shingle, doc, n, pos, level, m) of the prefixes of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = ["shingle", "doc", "n", "pos", "level", "m"]
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """256 parities of a set, as four numbers."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        usual = float(np.median(shared.value))
-        held: list[list[np.ndarray]] = []
-        count = 0
-        for ids, texts in columns_of(batches):
-            for doc, text in zip(ids, texts, strict=True):
-                _, shingles = shingle_set(text, hashes)
-                if not len(shingles):
-                    continue
-                found, level, m = prefix(shingles, shared.value, usual)
-                size = len(found)
-                held.append(
-                    [found.view(np.int64), np.full(size, doc), np.full(size, len(shingles)), np.arange(1, size + 1), level, np.full(size, m)]
-                )
-                count += size
-                if count > 1 << 17:
-                    yield from long_rows(names, [np.concatenate(c) for c in zip(*held, strict=True)])
-                    held, count = [], 0
+
+def _prefixes(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, levels: np.ndarray) -> Iterator[list[tuple]]:
+    """(doc, set size, prefix, match levels, m, signature) of first documents' texts, some at a time."""
+    hashes = WordHashes()
+    usual = float(np.median(levels))
+    for ids, texts in columns_of(batches):
+        held = []
+        first = in_bitmap(firsts, np.array(ids, np.int64))
+        for doc, text, asked in zip(ids, texts, first, strict=True):
+            shingles = shingle_set(text, hashes)[1] if asked else ()
+            if len(shingles):
+                held.append((doc, len(shingles), *prefix(shingles, levels, usual), signature(shingles)))
         if held:
-            yield from long_rows(names, [np.concatenate(c) for c in zip(*held, strict=True)])
+            yield held
+
+
+def prefix_shingles(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray) -> DataFrame:
+    """Rows (shingle) of the prefixes of the first documents among docs (doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((firsts, levels))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _prefixes(batches, *shared.value):
+            yield from long_rows(["shingle"], [np.concatenate([h[2] for h in held]).view(np.int64)])
+
+    return docs.mapInArrow(rows, "shingle long")
+
+
+def index_rows(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray, again: np.ndarray) -> DataFrame:
+    """Rows (shingle, doc, n, pos, level, m, signature) of the same prefixes, without shingles that
+    occur once."""
+    shared = docs.sparkSession.sparkContext.broadcast((firsts, levels, again))
+    names = ["shingle", "doc", "n", "pos", "level", "m", *_SIGNATURE]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, levels, again = shared.value
+        for held in _prefixes(batches, firsts, levels):
+            columns = []
+            for doc, n, found, level, m, signed in held:
+                pos = np.flatnonzero(in_bitmap(again, found))
+                size = len(pos)
+                columns.append([found[pos].view(np.int64), np.full(size, doc), np.full(size, n), pos + 1, level[pos], np.full(size, m), *[np.full(size, s) for s in signed]])
+            yield from long_rows(names, [np.concatenate(c) for c in zip(*columns, strict=True)])
 
     return docs.mapInArrow(rows, ", ".join(f"{name} long" for name in names))
 
 
 def may_be_alike(x: str, y: str) -> Column:
-    """Whether positions of a shared shingle allow similarity 0.8 of rows x and y."""
+    """Whether positions of a shared shingle and signatures allow similarity 0.8 of rows x and y.
+
+    It takes a common share of 4 / 9 of both sizes, so a difference of a ninth of them at most.
+    """
     c = F.col
     rest = F.least(c(f"{x}n") - c(f"{x}pos"), c(f"{y}n") - c(f"{y}pos"))
     overlap = F.least(c(f"{x}before"), c(f"{y}before")) + 1 + rest
-    return 9 * overlap >= 4 * (c(f"{x}n") + c(f"{y}n"))
+    sizes = c(f"{x}n") + c(f"{y}n")
+    apart = sum((F.bit_count(c(f"{x}{s}").bitwiseXOR(c(f"{y}{s}"))) for s in _SIGNATURE), F.lit(0))
+    return (9 * overlap >= 4 * sizes) & (9 * apart <= sizes)
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -211,20 +239,25 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(alike, "a long, b long"))
 
 
-def similar_links(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Links (a, b) between texts (doc_id, text) of different words; their components are exact."""
-    index = stored(index_rows(texts, levels))
-    leaders = checkpointed(
+def similar_links(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray) -> DataFrame:
+    """Links (a, b) between first documents of docs (doc_id, text); their components are exact.
+
+    firsts: a bitmap of their ids. A copy found in it by chance is treated as a first document
+    too; its link to the true first is right.
+    """
+    once_more = prefix_shingles(docs, firsts, levels).groupBy("shingle").count().filter("count > 1")
+    index = stored(index_rows(docs, firsts, levels, bitmap_of(once_more, "shingle")))
+    leaders = stored(
         index.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "doc", "n")).alias("lead"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "doc", "n", *_SIGNATURE)).alias("lead"))
         .filter("size > 1")
         .select(
             "shingle", F.col("lead.doc").alias("l_doc"), F.col("lead.pos").alias("l_pos"), F.col("lead.n").alias("l_n"),
-            (F.col("lead.pos") - 1).alias("l_before"),
+            (F.col("lead.pos") - 1).alias("l_before"), *[F.col(f"lead.{s}").alias(f"l_{s}") for s in _SIGNATURE],
         )
     )
     in_order = Window.partitionBy("doc", "n").orderBy("pos")
-    shared = checkpointed(
+    shared = stored(
         index.join(leaders, "shingle").withColumn("before", F.row_number().over(in_order).cast("long") - 1)
     )
     best = (
@@ -235,12 +268,12 @@ def similar_links(texts: DataFrame, levels: np.ndarray) -> DataFrame:
         .groupBy("doc")
         .agg(F.max(F.struct("matches", -F.col("l_doc"), "l_doc")).alias("best"))
     )
-    first = verified(texts, best.select(F.col("doc").alias("a"), F.col("best.l_doc").alias("b")))
+    first = verified(docs, best.select(F.col("doc").alias("a"), F.col("best.l_doc").alias("b")))
     labels = checkpointed(components(first))
-    marked = shared.select("shingle", "doc", "n", "pos", "before", "level", "m").join(
+    marked = shared.select("shingle", "doc", "n", "pos", "before", "level", "m", *_SIGNATURE).join(
         labels, F.col("doc") == F.col("node"), "left"
     )
-    marked = checkpointed(marked.withColumn("component", F.coalesce("component", "doc")).drop("node"))
+    marked = stored(marked.withColumn("component", F.coalesce("component", "doc")).drop("node"))
     largest = (
         marked.groupBy("shingle", "component")
         .agg(F.count(F.lit(1)).alias("size"))
@@ -249,7 +282,7 @@ def similar_links(texts: DataFrame, levels: np.ndarray) -> DataFrame:
         .filter("components > 1")
         .select("shingle", F.col("top.component").alias("major"))
     )
-    open_rows = checkpointed(marked.join(largest, "shingle"))
+    open_rows = stored(marked.join(largest, "shingle"))
     x = open_rows.filter("component <> major").select(*[F.col(c).alias(f"x_{c}") for c in open_rows.columns])
     y = open_rows.select(*[F.col(c).alias(f"y_{c}") for c in open_rows.columns])
     m = F.least("x_m", "y_m")
@@ -267,7 +300,7 @@ def similar_links(texts: DataFrame, levels: np.ndarray) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("matches"))
         .filter("matches >= m")
     )
-    return first.union(verified(texts, pairs))
+    return first.union(verified(docs, pairs))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -285,13 +318,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = checkpointed(
         rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     ).filter("first_id is not null")
-    firsts = classes.select(F.col("first_id").alias("doc_id")).distinct()
-    texts = stored(docs.join(firsts, "doc_id", "left_semi"))
+    firsts = bitmap_of(classes, "first_id")
+    known = docs.filter("doc_id is not null")
     copies = (
         rows.filter("doc_id is not null").join(classes, "digest").filter("doc_id <> first_id")
         .select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).distinct()
     )
-    near = components(similar_links(texts, levels))
+    near = checkpointed(components(similar_links(known, firsts, levels)))
     # a copy has one first document, so it joins that document's component, unless it has several texts
     own = F.coalesce("component", "b")
     tied = copies.join(near, F.col("b") == F.col("node"), "left").select(F.col("a"), own.alias("b"))
