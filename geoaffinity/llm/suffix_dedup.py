@@ -136,15 +136,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
     firsts = bitmap_of(classes, "first_id")
     again = suffix_seeds(docs, firsts).groupBy("seed").agg(F.sum("times").alias("times")).filter("times > 1")
-    around = stored(candidate_windows(docs, firsts, bitmap_of(again, "seed", SEED_BITS)).distinct())
+    around = stored(candidate_windows(docs, firsts, bitmap_of(again, "seed", SEED_BITS)))
     runs = around.groupBy("window").agg(
-        F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last_doc"), F.count(F.lit(1)).alias("times")
+        F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")
     )
-    runs = stored(runs.filter("times > 1"))
+    runs = stored(runs.filter(F.col("first") != F.col("last")))
     matched = around.join(runs, "window").select(
         "doc", "start", (F.col("start") + LENGTH).alias("end"),
         (F.struct("doc", "start") != F.col("first")).alias("repeat"),
-        F.when(F.struct("doc", "start") != F.col("first"), F.col("first.doc")).otherwise(F.col("last_doc")).alias("other"),
+        F.when(F.struct("doc", "start") != F.col("first"), F.col("first.doc")).otherwise(F.col("last.doc")).alias("other"),
     )
     spans = whole.union(matched)
     in_order = Window.partitionBy("doc", "repeat").orderBy("start", "end")
