@@ -32,8 +32,10 @@ from geoaffinity.llm.frames import checkpointed, stored
 
 FIT_ROWS = 20_000
 BRANCHES = 8
-#: Vectors in a leaf, as far as FIT_ROWS allows: a leaf is fitted on LEAF_FIT vectors or more.
-LEAF_ROWS, LEAF_FIT = 256, 4
+#: A leaf holds LEAF_ROWS vectors or LEAF_ROOTS times the root of their number, whichever is more:
+#: with leaves in proportion to the vectors, queries in many dimensions would visit as many more.
+#: A leaf is fitted on LEAF_FIT vectors or more.
+LEAF_ROWS, LEAF_ROOTS, LEAF_FIT = 256, 4, 4
 CALIBRATION = 64
 RECALL = 0.97
 BLOCK_ROWS = 2048
@@ -210,7 +212,8 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float =
     points = points.filter(F.size("vector") == (lengths["length"] if lengths else 0))
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("vector").collect()
     total = lengths["count"] if lengths else 0
-    leaf_fit = max(LEAF_FIT, math.ceil(LEAF_ROWS * len(sample) / max(1, total)))
+    leaf_rows = max(LEAF_ROWS, LEAF_ROOTS * math.isqrt(total))
+    leaf_fit = max(LEAF_FIT, math.ceil(leaf_rows * len(sample) / max(1, total)))
     tree = fit_tree(np.array([row["vector"] for row in sample], np.float64), leaf_fit)
     members = stored(in_leaves(points, tree))
     asked = members.filter(F.col("vec_id") % every == 0)
