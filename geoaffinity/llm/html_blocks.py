@@ -20,6 +20,8 @@ ENDS_P = frozenset(
 #: An open element of this kind ends where the same kind begins, up to the given bounds.
 ENDS_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _NAME = re.compile(r"[a-z]+")
+#: Character references of more digits than Python reads as a number.
+_LONG_REFERENCE = re.compile(r"&#[0-9]{1000,}")
 
 
 @dataclass
@@ -62,6 +64,12 @@ class _Blocks(HTMLParser):
                 break
         return -1
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """As HTML has it, a comment up to the next >; CDATA only inside svg and math."""
+        if self.rawdata.startswith("<![CDATA[", i) and max(self.last("svg"), self.last("math")) >= 0:
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
@@ -100,10 +108,8 @@ class _Blocks(HTMLParser):
 def leaf_blocks(html: str | None) -> list[Block]:
     """The blocks of a page in order; none for null. Malformed markup never fails."""
     parser = _Blocks()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except (AssertionError, ValueError):  # a broken declaration; what was read so far counts
-        pass
+    # ten digits without leading zeros are no character, as more are
+    parser.feed(_LONG_REFERENCE.sub(lambda found: "&#" + (found[0][2:].lstrip("0") or "0")[:10], html or ""))
+    parser.close()
     parser.flush()
     return parser.blocks

@@ -147,6 +147,23 @@ def test_main_text_is_the_article(spark):
             assert r["text"] == ""
 
 
+@pytest.mark.parametrize("odd", [
+    "<![ endif]-->", "<![foo[x]]>", "<![if x>", "<![CDATA[x>", "<![>", "<![", "<!x>", "<!>", "&#" + "9" * 5000 + ";", "<i title='&#" + "9" * 5000 + ";'></i>",
+])
+def test_text_after_odd_declarations_is_kept(odd):
+    blocks = html_crf.leaf_blocks(f"<article><p>before</p>{odd}<p>after</p><![endif]><p>end]]></p></article>")
+    texts = [b.text for b in blocks]
+    assert texts[0] == "before" and texts[-2:] == ["after", "end]]>"]
+    assert all("article" in b.tags for b in blocks)
+
+
+def test_main_text_goes_on_after_an_odd_declaration(spark):
+    page = "<html><body><nav><a href='/'>Home</a></nav><article><p>First line, here.</p>{}<p>Second line, there.</p></article><footer>&copy; me</footer></body></html>"
+    odd = ["", "<![ endif]-->", "<![foo[x]]>"]
+    pages = spark.createDataFrame([(n, "u", page.format(odd[n % 3])) for n in range(30)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_crf.extract_pages(pages).collect()} == {"First line, here. Second line, there."}
+
+
 def test_markup_of_the_tables_is_found(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     found = {r["page_id"]: r["text"] for r in html_crf.extract_pages(pages).collect()}
