@@ -17,6 +17,7 @@ and with a third of the names left out, so that weight also falls on text and ne
 from __future__ import annotations
 
 import random
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,7 @@ OTHER_NAMES = frozenset(
     "nav navigation navbar menu breadcrumb breadcrumbs header banner masthead footer contentinfo aside sidebar complementary ad ads advert adverts advertisement sponsor sponsored promo form search login newsletter subscribe comment comments discussion disqus reply replies cookie cookies consent notice alert popup modal share social related recommended widget pagination pager toolbar copyright".split()
 )
 _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64()), ("n_kept", pa.int64())])
+_SAMPLE_ARROW = pa.schema([("place", pa.int64()), ("page_id", pa.int64()), ("html", pa.string())])
 
 
 def _bucket(name: str) -> int:
@@ -194,31 +196,42 @@ def other_form(blocks: list[Block], labels: list[int], chance: random.Random) ->
 
 
 def fit_extractor(pages: DataFrame, fit_pages: int = FIT_PAGES) -> ChainModel:
-    """Fit on a bounded sample of the pages themselves; without any page that names its article,
-    on a page of one paragraph and one menu."""
+    """Fit on a bounded sample of the pages themselves; only where no page of the table names its
+    article, on a page of one paragraph and one menu."""
 
     def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, htmls in columns_of(batches):
-            marked = []
-            for page, html in zip(ids, htmls, strict=True):
-                blocks = leaf_blocks(html) if html else []
+        """Of the task's pages that can be learnt from, those with the smallest hash."""
+        best: list[tuple] = []  # in order
+        for columns in columns_of(batches):
+            for row in zip(*columns, strict=True):
+                if len(best) == fit_pages and row >= best[-1]:
+                    continue
+                blocks = leaf_blocks(row[2])
                 if blocks and len(blocks) <= FIT_BLOCKS and labels_by_markup(blocks):
-                    marked.append((page, html))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m[0] for m in marked], pa.int64()), pa.array([m[1] for m in marked], pa.string())],
-                names=["page_id", "html"],
-            )
-
-    nearest = (
-        pages.select(pages["page_id"].cast("long").alias("page_id"), pages["html"].cast("string").alias("html"))
-        .filter(F.col("page_id").isNotNull() & (F.length("html") < FIT_CHARS))
-        .orderBy(F.xxhash64("page_id"), "page_id", "html")
-        .limit(2 * fit_pages)
-    )
-    rows = nearest.mapInArrow(usable, "page_id long, html string").limit(fit_pages).collect()
+                    insort(best, row)
+                    del best[fit_pages:]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(zip(*best), _SAMPLE_ARROW, strict=True)] if best
+            else [pa.array([], field.type) for field in _SAMPLE_ARROW],
+            schema=_SAMPLE_ARROW,
+        )
+
+    order = ["place", "page_id", "html"]
+    readable = (
+        pages.select(F.xxhash64(pages["page_id"].cast("long")).alias("place"), pages["page_id"].cast("long").alias("page_id"), pages["html"].cast("string").alias("html"))
+        .filter(F.col("page_id").isNotNull() & (F.length("html") <= FIT_CHARS))
+    )
+
+    def smallest(some: DataFrame) -> list:
+        return some.mapInArrow(usable, "place long, page_id long, html string").orderBy(*order).limit(fit_pages).collect()
+
+    # mostly these are enough; if not, all pages are asked
+    rows = smallest(readable.orderBy(*order).limit(2 * fit_pages))
+    if len(rows) < fit_pages:
+        rows = smallest(readable)
     chance = random.Random(9)
     training = []
-    for row in sorted(rows):
+    for row in sorted(rows, key=lambda row: (row["page_id"], row["html"])):
         blocks = leaf_blocks(row["html"])
         labels = labels_by_markup(blocks) or []
         training.append((features(blocks), labels))

@@ -164,6 +164,21 @@ def test_main_text_goes_on_after_an_odd_declaration(spark):
     assert {r["text"] for r in html_crf.extract_pages(pages).collect()} == {"First line, here. Second line, there."}
 
 
+def test_few_marked_pages_are_found_and_learnt_from(spark, monkeypatch):
+    plain = "<html><body><ul><li>Home</li></ul><table><tr><td>cell</td></tr></table></body></html>"
+    marked = "<html><body><nav>Home</nav><article><p>A line, here.</p></article></body></html>"
+    rows = [(n, "u", marked if n % 100 == 7 else plain) for n in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    place = {r["page_id"]: r["place"] for r in pages.select("page_id", F.xxhash64("page_id").alias("place")).collect()}
+    first = sorted((n for n, _, html in rows if html == marked), key=place.get)
+    learnt = []
+    monkeypatch.setattr(html_crf, "fit_chain", lambda training: learnt.append(training))
+    for fit_pages in (2, 4, 300):
+        html_crf.fit_extractor(pages, fit_pages)
+        assert len(learnt[-1]) == 2 * len(first[:fit_pages])
+        assert all(1 in labels for _, labels in learnt[-1])
+
+
 def test_markup_of_the_tables_is_found(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     found = {r["page_id"]: r["text"] for r in html_crf.extract_pages(pages).collect()}
