@@ -254,6 +254,22 @@ def test_language_model_base_and_scores(spark):
     assert context_mixing.score_texts(docs.limit(0)).collect() == []
 
 
+def test_language_model_knows_the_order_of_words(spark):
+    chance = random.Random(5)
+    words = [f"w{n}" for n in range(300)]
+    phrases = [" ".join(chance.choices(words, k=6)) for _ in range(150)]
+    rows = [(n, " ".join(chance.choices(phrases, k=12))) for n in range(400)]
+    held_out = [n for n in range(4000) if zlib.crc32(str(n).encode()) % 5 == 1]
+    originals = [n for n in held_out if n < 400]
+    copies = dict(zip(originals, (n for n in held_out if n >= 1000), strict=False))
+    shuffled = [(copies[n], " ".join(chance.sample(rows[n][1].split(), 72))) for n in originals]
+    found = {r["doc_id"]: r for r in context_mixing.score_texts(spark.createDataFrame(rows + shuffled, "doc_id long, text string")).collect()}
+    assert len(originals) > 30 and all(found[n]["held_out"] and found[copies[n]]["held_out"] for n in originals)
+    for n in originals:
+        assert found[copies[n]]["score"] < found[n]["score"] - 30
+        assert found[n]["score"] > found[n]["base_score"]
+
+
 def test_token_probabilities_of_a_position_sum_to_one():
     table = np.zeros((context_mixing.CONTEXTS, 1 << context_mixing.TABLE_BITS, 2), np.float32)
     context_mixing.add_counts(table, [b"abc", b"abd", b"xyz"], np.array([5, 3, 2]))
