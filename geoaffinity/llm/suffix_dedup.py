@@ -1,15 +1,16 @@
-"""Repeated passages by a sparse suffix array over words.
+"""Repeated passages by hashes of word windows at minimiser positions.
 
-Only suffixes at content-selected positions are kept: of every LENGTH - SEED + 1 neighbouring
-starts of SEED-word seeds, the one of least hash (a minimiser). Two equal passages of LENGTH words
-select the same position in both, so none is missed. A first pass counts the seeds; suffixes whose
-seed occurs once in the corpus are dropped. The others are extended left and right: around each
-selected position stand the windows of LENGTH words that selected it. Sorting these windows by
-content brings equal ones together; each is compared with the first in its run, ordered by doc_id
-and position. Overlapping matches of a document join into passages of any length.
+This is not a suffix array: no suffix is sorted and no words are compared. Of every
+LENGTH - SEED + 1 neighbouring starts of SEED-word seeds, the one of least hash (a minimiser) is
+selected. Two equal passages of LENGTH words select the same position in both, so none is missed. A
+first pass counts the seeds; positions whose seed occurs once in the corpus are dropped. Around each
+other position stand the windows of LENGTH words that selected it, up to LENGTH - SEED + 1 rows. Windows are grouped
+by a hash of 64 bits, equal hashes count as equal words, and each is marked against the first of its
+group, ordered by doc_id and position. Overlapping matches of a document join into passages of any
+length.
 
 A passage's first occurrence is kept, the others are repeats. Texts of equal words are one class:
-only its first document enters the array, its copies are repeats as a whole.
+only its first document is searched, its copies are repeats as a whole.
 """
 
 from __future__ import annotations
