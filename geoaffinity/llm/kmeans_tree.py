@@ -69,15 +69,18 @@ class Tree:
             todo += [(child, rows[near == n]) for n, child in enumerate(node.children) if (near == n).any()]
         return leaf
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves that a query visits, best bin first."""
+    def visit(self, query: np.ndarray, count: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that a query visits, best bin first: count of them, and more until their
+        sizes add up to least."""
         found: list[int] = []
+        held = 0
         queue = [(0.0, 0, self.root)]
         seen = 1
-        while queue and len(found) < most:
+        while queue and (len(found) < count or (sizes is not None and held < least)):
             _, _, node = heapq.heappop(queue)
             if node.centres is None:
                 found.append(node.leaf)
+                held += 0 if sizes is None else int(sizes[node.leaf])
                 continue
             for distance, child in zip(distances(query[None], node.centres)[0].tolist(), node.children, strict=True):
                 heapq.heappush(queue, (distance, seen, child))
@@ -219,11 +222,16 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float =
     asked = members.filter(F.col("vec_id") % every == 0)
     chosen = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).select("vec_id", "vector").collect()
     visits = calibrated_visits(members, tree, [(r[0], np.array(r[1], np.float64)) for r in chosen], k, recall) if chosen else 1
-    shared = spark.sparkContext.broadcast(tree)
+    # one number a leaf
+    sizes = np.zeros(tree.leaves, np.int64)
+    for leaf, held in members.groupBy("leaf").count().collect():
+        sizes[leaf] = held
+    shared = spark.sparkContext.broadcast((tree, sizes))
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [shared.value.visit(v, visits) for v in _matrix(batch.column(1))] if batch.num_rows else []
+            own, held = shared.value
+            leaves = [own.visit(v, visits, held, k + 1) for v in _matrix(batch.column(1))] if batch.num_rows else []
             rows = pa.array([n for n, found in enumerate(leaves) for _ in found], pa.int64())
             leaf = pa.array([leaf for found in leaves for leaf in found], pa.int64())
             yield pa.RecordBatch.from_arrays(

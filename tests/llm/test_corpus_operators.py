@@ -229,6 +229,16 @@ def test_nearest_neighbours_recall_ties_and_bad_vectors(spark):
     assert len(kmeans_tree.search(table.filter("vec_id in (0, 3, 4)")).collect()) == 2
 
 
+def test_queries_in_small_leaves_find_k_neighbours(spark, monkeypatch):
+    chance = np.random.default_rng(6)
+    rows = [(n, [float(x) for x in chance.normal(size=4)]) for n in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name, value in (("LEAF_ROWS", 5), ("LEAF_FIT", 5), ("LEAF_ROOTS", 0), ("calibrated_visits", lambda *_: 1)):
+        monkeypatch.setattr(kmeans_tree, name, value)
+    found = collections.Counter(r["query_id"] for r in kmeans_tree.search(table, every=50).collect())
+    assert found == {n: 10 for n in range(0, 400, 50)}
+
+
 # --- language model --------------------------------------------------------------------------
 
 
