@@ -340,7 +340,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component, or without any shingle.
 
-    Of rows that share this doc_id all stay; rows without doc_id stay if no document is alike.
+    Of rows that share this doc_id all stay. Rows without doc_id all stay, copies of other rows included.
     """
     found = jaccard_components(docs).filter("doc_id is not null")
     later = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("later_id")).distinct()
