@@ -1,8 +1,8 @@
 """Expected results of the named queries as SQL over the raw test tables.
 
 The SQL states each result the long way round: left joins from the order header, a full outer
-join of cells, window shares summed per feature, and the t tail as a power series instead of a
-continued fraction.
+join of cells, totals by window, and the t tail as a power series instead of a continued fraction.
+Shares are quotients of whole numbers, so that they are the same in any order of additions.
 """
 
 from __future__ import annotations
@@ -273,7 +273,7 @@ def _offered(*features: str) -> str:
 
 
 def _sides(place: str, places, baseline: str, overseas: bool = False, keep: str = "true"):
-    """CTEs ``shared`` (all analysed cells with shares), ``analysed`` and ``baseline``."""
+    """CTEs ``shared`` (all analysed cells with the orders they are a share of), ``analysed`` and ``baseline``."""
     parts = _cells("cells", place, overseas)
     if baseline in DMAS or place == "region":
         other = "cells"
@@ -288,7 +288,8 @@ def _sides(place: str, places, baseline: str, overseas: bool = False, keep: str
         *parts,
         f"""
 shared AS (
-  SELECT *, {_share(place)} AS share_total, {_share(place + ", category")} AS share_category
+  SELECT *, sum(total_order) OVER (PARTITION BY {place}) AS of_total,
+    sum(total_order) OVER (PARTITION BY {place}, category) AS of_category
   FROM cells)""",
         f"\nanalysed AS (SELECT * FROM shared WHERE {place} IN ({_quoted(places)}) AND {keep})",
         f"\nbaseline AS (SELECT * FROM {other} WHERE {chosen} AND {keep})",
@@ -297,7 +298,7 @@ shared AS (
 
 def _comparison(place: str, feature: str, metric: str) -> list[str]:
     """CTE ``compared``: gated rows with all measures, over the CTEs of ``_sides``."""
-    share = "share_total" if feature == "category" else "share_category"
+    whole = "of_total" if feature == "category" else "of_category"
     name, numerator = METRIC[metric], NUMERATOR[metric]
     label = {"market_sku": "sku_name", "market_spu": "spu_name"}.get(feature)
     labels = f"(SELECT {feature} AS code, min({label}) AS label FROM attributes GROUP BY 1)" if label else ""
@@ -305,7 +306,7 @@ def _comparison(place: str, feature: str, metric: str) -> list[str]:
         _costs(),
         f"""
 a AS (
-  {_feature_sums(place, feature)}, coalesce(sum({share}), 0) AS order_percent
+  {_feature_sums(place, feature)}, {_ratio("sum(total_order)", f"max({whole})")} AS order_percent
   FROM analysed WHERE category IS NOT NULL AND {feature} IS NOT NULL GROUP BY ALL),
 b AS (
   SELECT category, {feature} AS feature_value,
