@@ -656,3 +656,17 @@ FROM tested WHERE p_value IS NOT NULL""",
     "format_basic": _format_basic(),
     "format_two_feature": _format_two_feature(),
 }
+
+ORACLE_SQL |= {
+    "stored_order_cells_region": ORACLE_SQL["order_cells_region"],
+    "stored_order_cells_dma": ORACLE_SQL["order_cells_dma"],
+    "kept_align_region": ORACLE_SQL["align_region"],
+    "kept_align_dma": ORACLE_SQL["align_dma"],
+    "kept_align_country": ORACLE_SQL["align_country"],
+    "kept_compare_region_vs_all": ORACLE_SQL["compare_region_vs_all_rev"],
+    "feature_summary_of_days": ORACLE_SQL["feature_summary"],
+    "feature_summary_of_places": _with(
+        [*_cells("cells", "region"), f"\ns AS ({_feature_sums('order_date', 'collection')} FROM cells GROUP BY ALL)"],
+        f"SELECT * REPLACE ({_REVENUE}) FROM s WHERE feature_value IS NOT NULL",
+    ),
+}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geoaffinity.functions.ratios import guarded_ratio
 from geoaffinity.functions.student_t import two_sided_p
+from geoaffinity.operators import bitmaps
 from geoaffinity.operators import measures as m
 from geoaffinity.operators.align import key_union
 from geoaffinity.operators.cells import (
@@ -53,7 +54,11 @@ from geoaffinity.params import (
     TwoFeatures,
 )
 from geoaffinity.plans import analyses
+from geoaffinity.plans.kept import KeptCells
+from geoaffinity.plans.shared import shared_folder
+from geoaffinity.plans.star_store import write_star
 from geoaffinity.sources.product_lists import of_market, option_lists
+from geoaffinity.sources.star import StarTables
 from geoaffinity.sources.tpch_star import tpch_product_info, tpch_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +76,7 @@ class Fixture:
     """The star of one data folder with everything the queries share."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
         self.star = tpch_star(spark, folder)
 
     @cached_property
@@ -99,6 +105,20 @@ class Fixture:
             return analyses.aligned_country_cells(self.star, self.attributes, SCOPE)
         return analyses.aligned_cells(self.star, self.attributes, SCOPE, place, include_overseas)
 
+    @cached_property
+    def stored(self) -> StarTables:
+        """The star written as partitioned and bucketed catalog tables, and read from there."""
+        folder = shared_folder(self.spark, "star")
+        return write_star(self.star, f"star_{folder[-32:]}", 8, folder)
+
+    @cached_property
+    def kept(self) -> StarTables:
+        """The star with kept cells; the last days are built first and part of them once more."""
+        cells = KeptCells(self.spark, shared_folder(self.spark, "kept"))
+        cells.update(self.star, NARROW)
+        cells.update(self.star, SCOPE)
+        return self.star.with_kept(cells)
+
     def compare_sides(self, params: CompareParams) -> Sides:
         return analyses.compare_sides(self.star, self.attributes, params)
 
@@ -254,6 +274,29 @@ def _format_two_feature(fx: Fixture) -> DataFrame:
     return format_two_feature(analyses.rank_places(fx.star, params, fx.product_info), TWO)
 
 
+def _stored_orders(place):
+    return lambda fx: order_cells(fx.stored, fx.attributes, SCOPE, place)
+
+
+def _kept_cells(place):
+    if place == COUNTRY:
+        return lambda fx: analyses.aligned_country_cells(fx.kept, fx.attributes, SCOPE)
+    return lambda fx: analyses.aligned_cells(fx.kept, fx.attributes, SCOPE, place)
+
+
+def _kept_compare(fx: Fixture) -> DataFrame:
+    return analyses.compare(fx.kept, _compare_params(WEST, ALL, "category", REV_PER_DV))
+
+
+def _summary_of_days(*keys: str):
+    def build(fx: Fixture) -> DataFrame:
+        numbers = bitmaps.sku_numbers(fx.attributes)
+        daily = bitmaps.daily_summary(fx.cells(REGION), numbers, "collection", REGION)
+        return bitmaps.summary_of_days(daily, keys)
+
+    return build
+
+
 _BUILDERS: dict[str, Callable[[Fixture], DataFrame]] = {
     # cells
     "sku_attributes": lambda fx: fx.attributes,
@@ -331,6 +374,15 @@ _BUILDERS: dict[str, Callable[[Fixture], DataFrame]] = {
     "country_fact_rev": _fact(REV_PER_DV, TwoFeatures("category")),
     "country_fact_cr": _fact(CR, TwoFeatures("market_sku")),
     "country_fact_two_features": _fact(REV_PER_DV, TWO_CHOSEN),
+    # the stored star, kept cells and mergeable counts
+    "stored_order_cells_region": _stored_orders(REGION),
+    "stored_order_cells_dma": _stored_orders(DMA),
+    "kept_align_region": _kept_cells(REGION),
+    "kept_align_dma": _kept_cells(DMA),
+    "kept_align_country": _kept_cells(COUNTRY),
+    "kept_compare_region_vs_all": _kept_compare,
+    "feature_summary_of_days": _summary_of_days(REGION),
+    "feature_summary_of_places": _summary_of_days("order_date"),
     # presentation
     "format_basic": _format_basic,
     "format_two_feature": _format_two_feature,

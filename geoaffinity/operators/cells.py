@@ -15,14 +15,16 @@ from geoaffinity.params import DMAS, Scope
 from geoaffinity.schemas import (
     ATTRIBUTES,
     MATERIAL_PROPERTY,
+    ORDER_DAY,
     OVERSEAS_REGION,
     PROTECTION_SUBCATEGORY,
     SWATCH_CATEGORY,
 )
+from geoaffinity.sources.fetch import fetch
 from geoaffinity.sources.star import StarTables
 
-UTC_NAMES = frozenset({"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "UCT", "Zulu", "+00:00"})
 REGION, DMA, COUNTRY = "region", "dma", None
+_DAY_MICROS = 86_400_000_000
 
 
 def sku_attributes(star: StarTables) -> DataFrame:
@@ -48,36 +50,40 @@ def sku_attributes(star: StarTables) -> DataFrame:
     )
 
 
-def in_period(day: str, scope: Scope) -> str:
-    """Inclusive date range."""
-    return f"{day} BETWEEN DATE'{scope.start}' AND DATE'{scope.end}'"
+def order_day(star: StarTables) -> tuple[str, str]:
+    """A paid order's day in the warehouse's time zone, and a scope's condition on its time.
 
-
-def check_zone(star: StarTables) -> None:
-    """Raise if orders carry a time zone and the session's is not the warehouse's.
-
-    The day of such a time depends on the session. Times without zone are taken as they are.
+    Times without zone are the warehouse's own. Zoned ones are instants: the condition compares
+    them with the instants at which the zone's days begin, so it reaches the scan, and the day is
+    counted from the zone's offset at that instant; neither depends on the session's zone.
     """
-    orders = star.fact_saleorder
-    kind = orders.schema["payment_completion_time"].dataType
-    zone = orders.sparkSession.conf.get("spark.sql.session.timeZone")
-    same = zone == star.zone or {zone, star.zone} <= UTC_NAMES
-    if isinstance(kind, TimestampType) and not same:
-        raise ValueError(
-            f"orders carry zoned times of {star.zone}: set spark.sql.session.timeZone to it, not {zone}"
-        )
+    time = "payment_completion_time"
+    if not isinstance(star.fact_saleorder.schema[time].dataType, TimestampType):
+        day = f"to_date({time})"
+        return day, f"{day} BETWEEN :start AND :end"
+    local = f"unix_micros(from_utc_timestamp({time}, '{star.zone}'))"
+    day = f"date_from_unix_date(int(({local} - pmod({local}, {_DAY_MICROS})) div {_DAY_MICROS}))"
+    begins = f"CAST(date_format({{}}, 'yyyy-MM-dd') || ' 00:00:00 {star.zone}' AS TIMESTAMP)"
+    return day, (
+        f"{time} >= {begins.format(':start')} AND {time} < {begins.format('date_add(:end, 1)')}"
+    )
 
 
 def sales_orders(star: StarTables, scope: Scope) -> DataFrame:
     """Completed web orders for goods of one market and period."""
-    day = "to_date(payment_completion_time)"
-    check_zone(star)
-    return star.fact_saleorder.filter(
-        f"""spree_channel = 'web' AND market = '{scope.market}'
-        AND classification = 'complete' AND order_type = 'Goods'
-        AND pure_swatch_order_flag = 'N' AND {in_period(day, scope)}"""
-    ).selectExpr(
-        "spree_so_id", f"{day} AS order_date", "market", "region", "shipping_zip_code"
+    day, in_period = order_day(star)
+    stored = [name for name in star.order_partitions if name != "market"]
+    if ORDER_DAY in stored:
+        in_period += f" AND {ORDER_DAY} BETWEEN :start AND :end"
+    return fetch(
+        f"""SELECT spree_so_id, {day} AS order_date, market, region, shipping_zip_code
+        {"".join(f", {name}" for name in stored)}
+        FROM {{facts}}
+        WHERE spree_channel = 'web' AND market = :market
+          AND classification = 'complete' AND order_type = 'Goods'
+          AND pure_swatch_order_flag = 'N' AND {in_period}""",
+        star.fact_saleorder,
+        scope,
     )
 
 
@@ -89,19 +95,25 @@ def place_orders(star: StarTables, orders: DataFrame, place: str | None) -> Data
             "zip AS shipping_zip_code", f"ga_dma AS {DMA}"
         )
         orders = orders.join(zips, "shipping_zip_code")
-    return orders.select("spree_so_id", "order_date", *_place_columns(place))
+    return orders.select(
+        "spree_so_id", *star.order_partitions, "order_date", *_place_columns(place)
+    )
 
 
 def order_measures(star: StarTables, scope: Scope, place: str | None) -> DataFrame:
     """Revenue, quantity and number of orders per SKU, place and day, without attributes.
 
     Lines meet their orders first, in one shuffle by order number (none if both are bucketed by
-    it), so lines of other periods and markets go no further. Spark splits the partition of an
-    order that holds a large part of all lines.
+    it), so lines of other periods and markets go no further. Where both are stored by market and
+    day these join too: lines of other markets and days are then not even read. Spark splits the
+    partition of an order that holds a large part of all lines. Kept cells are read instead of
+    facts where the star has them.
     """
+    if star.kept is not None:
+        return star.kept.order_measures(scope, place)
     placed = place_orders(star, sales_orders(star, scope), place)
     return (
-        star.fact_saleorderline.join(placed, "spree_so_id")
+        star.fact_saleorderline.join(placed, ["spree_so_id", *star.order_partitions])
         .groupBy("market_sku", *_place_columns(place), "order_date")
         .agg(
             F.sum("sale_amount").alias("total_revenue"),
@@ -125,6 +137,36 @@ def order_cells(
     )
 
 
+def view_measures(
+    star: StarTables, scope: Scope, place: str | None, include_overseas: bool = False
+) -> DataFrame:
+    """Product views per SKU, place and day, without attributes; the country also counts cart additions."""
+    measures = _view_columns(place)
+    if star.kept is not None:
+        views = star.kept.views(scope, place)
+    elif place == DMA:
+        views = fetch(
+            f"""SELECT market_sku, metro AS {DMA}, date AS order_date, product_view FROM {{facts}}
+            WHERE market = :market AND date BETWEEN :start AND :end""",
+            star.fact_dma_product_daily_onsite_metric,
+            scope,
+        )
+    else:
+        views = fetch(
+            """SELECT market_sku, region, date AS order_date, product_view, add_to_cart FROM {facts}
+            WHERE market = :market AND date BETWEEN :start AND :end""",
+            star.fact_region_product_daily_onsite_metric,
+            scope,
+        )
+    if place == DMA:
+        views = views.filter(_is_dma(DMA))
+    elif not include_overseas:
+        views = views.filter(f"region <> '{OVERSEAS_REGION}'")
+    return views.groupBy("market_sku", *_place_columns(place), "order_date").agg(
+        *[F.sum(column).alias(name) for name, column in measures.items()]
+    )
+
+
 def view_cells(
     star: StarTables,
     attributes: DataFrame,
@@ -132,24 +174,24 @@ def view_cells(
     place: str | None,
     include_overseas: bool = False,
 ) -> DataFrame:
-    """Product views per SKU, place and day; the country grain also counts cart additions."""
-    if place == DMA:
-        views, kept = star.fact_dma_product_daily_onsite_metric, _is_dma("metro")
-        keys = ["market_sku", f"metro AS {DMA}", "date AS order_date"]
-    else:
-        views = star.fact_region_product_daily_onsite_metric
-        kept = "true" if include_overseas else f"region <> '{OVERSEAS_REGION}'"
-        keys = ["market_sku", *_place_columns(place), "date AS order_date"]
-    measures = {"total_detailview": "product_view"}
-    if place == COUNTRY:
-        measures["atc"] = "add_to_cart"
+    """View cells of goods with their attributes."""
     return (
-        views.filter(f"market = '{scope.market}' AND {in_period('date', scope)} AND {kept}")
-        .selectExpr(*keys, *measures.values())
-        .groupBy("market_sku", *_place_columns(place), "order_date")
-        .agg(*[F.sum(column).alias(name) for name, column in measures.items()])
+        view_measures(star, scope, place, include_overseas)
         .join(_real_goods(attributes), "market_sku")
-        .selectExpr(*_keys(place, scope), *ATTRIBUTES, *measures)
+        .selectExpr(*_keys(place, scope), *ATTRIBUTES, *_view_columns(place))
+    )
+
+
+def cost_measures(star: StarTables, scope: Scope, by_day: bool = False) -> DataFrame:
+    """Advertising cost per SKU (and day), without attributes."""
+    costs = fetch(
+        """SELECT market_sku, date AS order_date, cost FROM {facts}
+        WHERE market = :market AND date BETWEEN :start AND :end""",
+        star.fact_product_ads_metric,
+        scope,
+    )
+    return costs.groupBy("market_sku", *(["order_date"] if by_day else [])).agg(
+        F.sum("cost").alias("country_total_cost")
     )
 
 
@@ -157,19 +199,17 @@ def cost_cells(
     star: StarTables, attributes: DataFrame, scope: Scope, by_day: bool = False
 ) -> DataFrame:
     """Advertising cost per SKU (and day) of the whole market, swatches and all."""
-    keys = ["market_sku", "order_date"] if by_day else ["market_sku"]
-    return (
-        star.fact_product_ads_metric.filter(
-            f"market = '{scope.market}' AND {in_period('date', scope)}"
-        )
-        .selectExpr("market_sku", "date AS order_date", "cost")
-        .groupBy(*keys)
-        .agg(F.sum("cost").alias("country_total_cost"))
-        .join(attributes, "market_sku", "left")
-        .select(*keys, *ATTRIBUTES, "country_total_cost")
+    costs = cost_measures(star, scope, by_day)
+    return costs.join(attributes, "market_sku", "left").select(
+        *costs.columns[:-1], *ATTRIBUTES, "country_total_cost"
     )
 
 
+def _view_columns(place: str | None) -> dict[str, str]:
+    views = {"total_detailview": "product_view"}
+    return views if place else {**views, "atc": "add_to_cart"}
+
+
 def _real_goods(attributes: DataFrame) -> DataFrame:
     """Swatches and SKUs without category are out."""
     return attributes.filter(f"category <> '{SWATCH_CATEGORY}'")

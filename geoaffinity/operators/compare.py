@@ -22,13 +22,16 @@ class Sides:
     """Aligned cells of both sides, before and after the scope filters.
 
     ``everything`` holds all cells of the analysed places and only feeds the share
-    denominators; ``analysed`` and ``baseline`` are the cells that are compared.
+    denominators; ``analysed`` and ``baseline`` are the cells that are compared. Where the
+    baseline is the whole market at the analysed level, ``places`` names the analysed ones among
+    its cells, so that both sides can be had from one pass over them.
     """
 
     everything: DataFrame
     analysed: DataFrame
     baseline: DataFrame
     place: str
+    places: tuple[str, ...] = ()
 
     @classmethod
     def build(
@@ -43,19 +46,24 @@ class Sides:
     ) -> Sides:
         """A baseline without name is the whole market, analysed places and null included."""
         everything = cells.filter(F.col(place).isin(*places))
+        one_pass = baseline_name is None and baseline_cells is cells
         if baseline_name is not None:
             baseline_cells = baseline_cells.filter(F.col(baseline_place) == baseline_name)
-        return cls(everything, in_scope(everything), in_scope(baseline_cells), place)
+        return cls(
+            everything, in_scope(everything), in_scope(baseline_cells), place, tuple(places) if one_pass else ()
+        )
 
 
 def compare_features(sides: Sides, costs: DataFrame, feature: str, metric: str) -> DataFrame:
     """Metrics, lift, order share, score and cost per (place, category, feature value)."""
     keys = ["category", "feature_value"]
-    summary = m.feature_summary(sides.analysed, feature, sides.place)
+    if sides.places:
+        summary = m.summary_with_baseline(sides.baseline, feature, metric, sides.place, sides.places)
+    else:
+        summary = m.feature_summary(sides.analysed, feature, sides.place)
+        summary = summary.join(m.baseline_metric(sides.baseline, feature, metric), keys, "left")
     summary = m.with_order_percent(summary, sides.everything, feature, sides.place)
-    joined = summary.join(m.baseline_metric(sides.baseline, feature, metric), keys, "left").join(
-        m.cost_by_feature(costs, feature), keys, "left"
-    )
+    joined = summary.join(m.cost_by_feature(costs, feature), keys, "left")
     name = m.METRIC_NAMES[metric]
     analysed, baseline = f"{name}_analysed", f"{name}_baseline"
     return joined.selectExpr(

@@ -137,6 +137,50 @@ def baseline_metric(cells: DataFrame, feature: str, metric: str) -> DataFrame:
     )
 
 
+def both_levels(
+    rows: DataFrame, keys: Sequence[str], place: str, aggregates: Sequence[Column], more: Sequence[str] = ()
+) -> DataFrame:
+    """Aggregates per place and keys, and per keys over all places, in one pass over the rows.
+
+    Grouping sets give both; ``whole`` marks the rows of all places, whose place is null. ``more``
+    names columns that group both levels besides.
+    """
+    every = [place, *keys, *more]
+    return (
+        rows.groupingSets([every, every[1:]], *every)
+        .agg(*aggregates, F.grouping(place).cast("boolean").alias("whole"))
+    )
+
+
+def beside_whole(
+    levels: DataFrame, keys: Sequence[str], place: str, places: Sequence[str], of_whole: Mapping[str, Column]
+) -> DataFrame:
+    """The rows of the named places, each beside columns of the row of all places with its keys.
+
+    A key has one row for each place at most, so these are gathered by key, without a join that
+    would derive the levels a second time.
+    """
+    own = [name for name in levels.columns if name not in (*keys, "whole")]
+    named = ~F.col("whole") & F.col(place).isin(*places)
+    gathered = levels.groupBy(*keys).agg(
+        F.collect_list(F.when(named, F.struct(*own))).alias("of_places"),
+        *[F.max(F.when(F.col("whole"), column)).alias(name) for name, column in of_whole.items()],
+    )
+    return gathered.select(*keys, *of_whole, F.inline("of_places"))
+
+
+def summary_with_baseline(
+    cells: DataFrame, feature: str, metric: str, place: str, places: Sequence[str]
+) -> DataFrame:
+    """``feature_summary`` of the named places with ``baseline_metric`` of all cells, in one pass."""
+    keys = ["category", "feature_value"]
+    aggregates = [F.count_distinct("market_sku").alias("sku_count"), *sums(*SUMMED)]
+    levels = both_levels(keyed(cells, feature), keys, place, aggregates)
+    return beside_whole(
+        levels, keys, place, places, {"metric_baseline": F.expr(metric_value(metric))}
+    )
+
+
 def cost_by_feature(costs: DataFrame, feature: str) -> DataFrame:
     """Advertising cost of the market per category and feature value."""
     return (

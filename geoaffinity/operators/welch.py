@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geoaffinity.functions.student_t import two_sided_p
 from geoaffinity.functions.text import SMALL_SAMPLE_NOTE
 from geoaffinity.operators.compare import Sides
-from geoaffinity.operators.measures import NUMERATORS, keyed, metric_value, sums
+from geoaffinity.operators.measures import NUMERATORS, beside_whole, both_levels, keyed, metric_value, sums
 
 KEYS = ("category", "feature_value")
 _MOMENTS = ("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b")
@@ -53,16 +53,29 @@ def moments(daily: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     )
 
 
+def both_moments(sides: Sides, feature: str, metric: str, literal_days: bool = False) -> DataFrame:
+    """Moments of both groups per place, category and feature value of the analysed cells."""
+    placed = [sides.place, *KEYS]
+    if not sides.places:
+        analysed = daily_metric(sides.analysed, feature, metric, sides.place, literal_days)
+        baseline = daily_metric(sides.baseline, feature, metric, None, literal_days)
+        return moments(analysed, placed, "a").join(moments(baseline, KEYS, "b"), list(KEYS), "left")
+    cells, days = keyed(sides.baseline, feature), ["order_date"]
+    if literal_days:
+        cells, days = cells.selectExpr("*", "total_order = 0 AS is_view_only"), [*days, "is_view_only"]
+    daily = both_levels(cells, KEYS, sides.place, sums(NUMERATORS[metric], "total_detailview"), days)
+    daily = daily.selectExpr(*placed, "whole", f"{metric_value(metric)} AS value")
+    levels = moments(daily, [*placed, "whole"], "a")
+    of_whole = {f"{name}_b": F.col(f"{name}_a") for name in ("n", "mean", "var")}
+    return beside_whole(levels, list(KEYS), sides.place, sides.places, of_whole)
+
+
 def with_moments(
     rows: DataFrame, sides: Sides, feature: str, metric: str, literal_days: bool = False
 ) -> DataFrame:
     """Left-join both groups' moments to rows keyed by place, category and feature value."""
-    placed = [sides.place, *KEYS]
-    analysed = daily_metric(sides.analysed, feature, metric, sides.place, literal_days)
-    baseline = daily_metric(sides.baseline, feature, metric, None, literal_days)
-    return rows.join(moments(analysed, placed, "a"), placed, "left").join(
-        moments(baseline, KEYS, "b"), list(KEYS), "left"
-    )
+    found = both_moments(sides, feature, metric, literal_days)
+    return rows.join(found, [sides.place, *KEYS], "left")
 
 
 def with_test_statistics(rows: DataFrame) -> DataFrame:
@@ -100,8 +113,5 @@ def welch_table(
     sides: Sides, feature: str, metric: str, literal_days: bool = False
 ) -> DataFrame:
     """p-value of every (place, category, feature value) present in the analysed cells."""
-    placed = [sides.place, *KEYS]
-    analysed = daily_metric(sides.analysed, feature, metric, sides.place, literal_days)
-    baseline = daily_metric(sides.baseline, feature, metric, None, literal_days)
-    joined = moments(analysed, placed, "a").join(moments(baseline, KEYS, "b"), list(KEYS), "left")
-    return with_p_value(joined).select(*placed, "p_value", "p_note")
+    found = with_p_value(both_moments(sides, feature, metric, literal_days))
+    return found.select(sides.place, *KEYS, "p_value", "p_note")

@@ -19,9 +19,10 @@ from geoaffinity.operators.cells import (
     DMA,
     REGION,
     cost_cells,
-    order_cells,
+    cost_measures,
+    order_measures,
     sku_attributes,
-    view_cells,
+    view_measures,
 )
 from geoaffinity.operators.compare import Sides, compare_features, gated, result_columns
 from geoaffinity.operators.facttable import fact_table
@@ -48,8 +49,10 @@ def aligned_cells(
 ) -> DataFrame:
     """Aligned region or DMA cells of one market and period."""
     return align(
-        order_cells(star, attributes, scope, place),
-        view_cells(star, attributes, scope, place, include_overseas),
+        order_measures(star, scope, place),
+        view_measures(star, scope, place, include_overseas),
+        attributes,
+        scope.market,
         place,
     )
 
@@ -57,9 +60,11 @@ def aligned_cells(
 def aligned_country_cells(star: StarTables, attributes: DataFrame, scope: Scope) -> DataFrame:
     """Aligned country cells with cart additions and cost."""
     return align_country(
-        order_cells(star, attributes, scope, COUNTRY),
-        view_cells(star, attributes, scope, COUNTRY),
-        cost_cells(star, attributes, scope, by_day=True),
+        order_measures(star, scope, COUNTRY),
+        view_measures(star, scope, COUNTRY),
+        cost_measures(star, scope, by_day=True),
+        attributes,
+        scope.market,
     )
 
 

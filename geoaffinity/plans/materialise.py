@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoaffinity.plans.shared import remove
+
 
 class CellStore:
     """Writes cell tables as Parquet below a folder that all executors share.
@@ -29,8 +31,7 @@ class CellStore:
 
     def remove(self) -> None:
         """Delete the store's own tables; the folder itself stays."""
-        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self._spark, self.path)
 
     def write(self, df: DataFrame, *partition_by: str) -> DataFrame:
         """Write ``df`` and return a reader of what was written."""

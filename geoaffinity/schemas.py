@@ -60,6 +60,12 @@ STAR_SCHEMAS = {
     ),
 }
 
+# Columns that orders and lines may be stored by besides; an order and its lines share them. The
+# day is that of the payment, in the warehouse's time zone.
+ORDER_DAY = "order_day"
+ORDER_PARTITIONS = {"market": _STRING, ORDER_DAY: T.DateType()}
+ORDER_TABLES = ("fact_saleorder", "fact_saleorderline")
+
 FACT_TABLES = tuple(name for name in STAR_SCHEMAS if name.startswith("fact_"))
 
 PRODUCT_INFO_SCHEMA = _struct(
@@ -100,6 +106,15 @@ PROTECTION_SUBCATEGORY = "Accident Protection Plan"
 OVERSEAS_REGION = "Overseas"
 
 
+def table_schema(name: str, order_partitions=()) -> T.StructType:
+    """A table's declared columns, with those that orders and lines are stored by."""
+    declared = STAR_SCHEMAS[name]
+    if name not in ORDER_TABLES:
+        return declared
+    more = {n: ORDER_PARTITIONS[n] for n in order_partitions if n not in declared.fieldNames()}
+    return T.StructType([*declared.fields, *_struct(**more).fields])
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the declared columns, casting only where the stored type differs.
 

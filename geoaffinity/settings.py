@@ -10,7 +10,9 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Parquet expands in memory; without this a fact can look small enough to broadcast.
     "spark.sql.sources.fileCompressionFactor": "4.0",
-    # Days of orders are taken in the warehouse's time zone.
+    # Tables bucketed by order number join by number, market and day without an exchange.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Shown times; days of orders are the warehouse's in any session zone.
     "spark.sql.session.timeZone": "UTC",
     # Plans build faster when the Python line of every expression is not recorded.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

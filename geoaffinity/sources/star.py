@@ -6,43 +6,66 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoaffinity.schemas import FACT_TABLES, STAR_SCHEMAS, conform
+from geoaffinity.schemas import FACT_TABLES, ORDER_PARTITIONS, STAR_SCHEMAS, conform, table_schema
 
 
 class StarTables:
     """The star's tables by name; a table is opened when it is first asked for.
 
     zone: the warehouse's time zone, in which zoned order times are turned into days.
+    order_partitions: columns (market, order_day) that orders and lines are both stored by; they
+    are then read, filtered and joined besides the order number, so that lines are pruned.
+    kept: daily cells that are read instead of the facts they were made of.
     """
 
-    def __init__(self, read: Callable[[str], DataFrame], zone: str = "UTC"):
+    def __init__(
+        self,
+        read: Callable[[str], DataFrame],
+        zone: str = "UTC",
+        order_partitions: Sequence[str] = (),
+        kept=None,
+    ):
+        unknown = set(order_partitions) - set(ORDER_PARTITIONS)
+        if unknown:
+            raise ValueError(f"orders cannot be stored by {', '.join(sorted(unknown))}")
         self._read = read
         self.zone = zone
+        self.order_partitions = tuple(order_partitions)
+        self.kept = kept
         self._opened: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in STAR_SCHEMAS:
             raise AttributeError(name)
         if name not in self._opened:
-            self._opened[name] = conform(self._read(name), STAR_SCHEMAS[name])
+            self._opened[name] = conform(self._read(name), table_schema(name, self.order_partitions))
         return self._opened[name]
 
+    def with_kept(self, kept) -> StarTables:
+        """The same star, reading kept cells instead of orders, lines and views."""
+        return StarTables(self._read, self.zone, self.order_partitions, kept)
 
-def read_parquet_star(spark: SparkSession, folder: str, zone: str = "UTC") -> StarTables:
+
+def read_parquet_star(
+    spark: SparkSession, folder: str, zone: str = "UTC", order_partitions: Sequence[str] = ()
+) -> StarTables:
     """Tables stored as ``<folder>/<table>`` or ``<folder>/<table>.parquet``."""
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}{{,.parquet}}")
 
-    return StarTables(read, zone)
+    return StarTables(read, zone, order_partitions)
 
 
 def read_catalog_star(
-    spark: SparkSession, database: str | None = None, zone: str = "UTC"
+    spark: SparkSession,
+    database: str | None = None,
+    zone: str = "UTC",
+    order_partitions: Sequence[str] = (),
 ) -> StarTables:
     """Tables of a catalog database; bucketing by order number saves the order join's shuffle."""
     prefix = f"{database}." if database else ""
-    return StarTables(lambda name: spark.table(prefix + name), zone)
+    return StarTables(lambda name: spark.table(prefix + name), zone, order_partitions)
 
 
 def read_jdbc_star(

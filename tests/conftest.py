@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.maxMetadataStringLength": "2000",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     }
     for name, value in settings.items():

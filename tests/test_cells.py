@@ -4,8 +4,16 @@ import datetime as dt
 
 import pytest
 
-from geoaffinity.operators.align import align, align_country, key_union
-from geoaffinity.operators.cells import cost_cells, order_cells, sku_attributes, view_cells
+from geoaffinity.operators.align import align_country, key_union
+from geoaffinity.operators.cells import (
+    cost_cells,
+    cost_measures,
+    order_cells,
+    order_measures,
+    sku_attributes,
+    view_cells,
+    view_measures,
+)
 from geoaffinity.plans.analyses import aligned_cells, aligned_country_cells
 from tests import handmade as hm
 from tests.handmade import MAY, SCOPE, rows
@@ -129,7 +137,7 @@ def test_key_union_is_distinct(spark):
     orders = order_cells(star, attributes, SCOPE, "region")
     views = view_cells(star, attributes, SCOPE, "region", True)
     assert key_union(orders, views, "region").count() == 4
-    assert align(orders, views, "region").count() == 4
+    assert aligned_cells(star, attributes, SCOPE, "region", True).count() == 4
 
 
 def test_country_alignment_drops_days_that_only_have_cost(spark):
@@ -162,9 +170,9 @@ def test_cost_keeps_unknown_skus_and_swatches(spark):
 def test_country_alignment_without_cost_rows(spark):
     star = aligned_star(spark)
     attributes = sku_attributes(star)
-    empty = cost_cells(star, attributes, SCOPE, by_day=True).filter("false")
+    empty = cost_measures(star, SCOPE, by_day=True).filter("false")
     cells = align_country(
-        order_cells(star, attributes, SCOPE, None), view_cells(star, attributes, SCOPE, None), empty
+        order_measures(star, SCOPE, None), view_measures(star, SCOPE, None), empty, attributes, "US"
     )
     assert {float(r["country_total_cost"]) for r in cells.collect()} == {0.0}
 
