@@ -9,6 +9,7 @@ from __future__ import annotations
 
 # Places and attributes that the results name.
 START, END = "2024-01-01", "2024-01-30"
+AU_REGIONS = ("AU Sydney", "AU Melbourne", "AU Perth")
 DMAS = (
     "New York, NY",
     "Los Angeles CA",
@@ -36,7 +37,7 @@ _STAR = """
 place AS (
   SELECT n_nationkey,
     CASE WHEN n_nationkey < 20 THEN 'US' ELSE 'AU' END AS market,
-    CASE WHEN n_nationkey < 20 THEN
+    CASE WHEN n_nationkey = 7 THEN NULL WHEN n_nationkey < 20 THEN
       CASE r_name WHEN 'AFRICA' THEN 'US West' WHEN 'AMERICA' THEN 'US East'
         WHEN 'ASIA' THEN 'US Southeast' WHEN 'EUROPE' THEN 'US Northwest' ELSE 'Overseas' END
     ELSE
@@ -57,7 +58,9 @@ fact_saleorder AS (
     DATE '2024-01-01'
       + CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 30 AS INTEGER) AS order_date,
     CASE WHEN o_orderpriority = '5-LOW' THEN 'app' ELSE 'web' END AS spree_channel,
-    CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'complete' END AS classification
+    CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'complete' END AS classification,
+    CASE WHEN o_custkey % 11 = 0 THEN 'Service' ELSE 'Goods' END AS order_type,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'Y' ELSE 'N' END AS pure_swatch_order_flag
   FROM orders JOIN home ON o_custkey = c_custkey),
 fact_saleorderline AS (
   SELECT spree_so_id, market, order_date,
@@ -82,7 +85,7 @@ dim_sku AS (
     'All' AS master_category,
     CASE WHEN p_type = 'PROMO' THEN 'Swatch' ELSE p_type END AS category,
     CASE WHEN p_brand = 'Brand#25' THEN 'Accident Protection Plan' ELSE p_brand END AS subcategory,
-    split_part(p_name, ' ', 2) AS collection,
+    CASE WHEN p_partkey % 19 > 0 THEN split_part(p_name, ' ', 2) END AS collection,
     split_part(p_name, ' ', 1) AS color_tone
   FROM part CROSS JOIN (VALUES ('US'), ('AU')) AS m(market)),
 sku_material AS (
@@ -112,6 +115,7 @@ def _orders(name: str, place: str) -> str:
     LEFT JOIN place g ON g.zip = o.zip
     LEFT JOIN attributes a ON l.market_sku = a.market_sku
   WHERE o.spree_channel = 'web' AND o.market = 'US' AND o.classification = 'complete'
+    AND o.order_type = 'Goods' AND o.pure_swatch_order_flag = 'N'
     AND a.category <> 'Swatch' AND a.category IS NOT NULL
     AND a.subcategory <> 'Accident Protection Plan'
     AND o.order_date BETWEEN DATE '{START}' AND DATE '{END}' {only}
@@ -151,7 +155,7 @@ def _aligned(name: str, orders: str, views: str, place: str) -> str:
     merged = ", ".join(f"coalesce(o.{c}, v.{c}) AS {c}" for c in both)
     match = "o.market_sku = v.market_sku AND o.order_date = v.order_date"
     if place:
-        match += f" AND o.{place} = v.{place}"
+        match += f" AND o.{place} IS NOT DISTINCT FROM v.{place}"
     extra = "" if place else ", coalesce(v.atc, 0) AS atc"
     return f"""
 {name} AS (
@@ -220,8 +224,12 @@ def _two_sided_p(t2: str, df: str) -> str:
       ELSE 1 - {series("0.5", f"{df} / 2", y)} END"""
 
 
-def _welch(place: str, feature: str, metric: str) -> list[str]:
-    """From CTEs ``analysed`` and ``baseline`` to one p-value per place, category and feature."""
+def _welch(place: str, feature: str, metric: str, literal: bool = False) -> list[str]:
+    """From CTEs ``analysed`` and ``baseline`` to one p-value per place, category and feature.
+
+    literal: cells without orders make an observation of their own.
+    """
+    apart = ", total_order = 0" if literal else ""
 
     def daily(name: str, source: str, keys: str) -> str:
         value = _ratio(f"sum({NUMERATOR[metric]})", "sum(total_detailview)")
@@ -229,7 +237,7 @@ def _welch(place: str, feature: str, metric: str) -> list[str]:
 {name} AS (
   SELECT {keys}category, {feature} AS feature_value, order_date, {value} AS value
   FROM {source} WHERE category IS NOT NULL AND {feature} IS NOT NULL
-  GROUP BY {keys}category, {feature}, order_date)"""
+  GROUP BY {keys}category, {feature}, order_date{apart})"""
 
     def moment(name: str, source: str, keys: str) -> str:
         return f"""
@@ -296,8 +304,11 @@ shared AS (
     ]
 
 
-def _comparison(place: str, feature: str, metric: str) -> list[str]:
-    """CTE ``compared``: gated rows with all measures, over the CTEs of ``_sides``."""
+def _comparison(place: str, feature: str, metric: str, floors=(100, 0, 10, 100)) -> list[str]:
+    """CTE ``compared``: gated rows with all measures, over the CTEs of ``_sides``.
+
+    floors: of cost per SKU, metric, orders and price.
+    """
     whole = "of_total" if feature == "category" else "of_category"
     name, numerator = METRIC[metric], NUMERATOR[metric]
     label = {"market_sku": "sku_name", "market_spu": "spu_name"}.get(feature)
@@ -328,8 +339,8 @@ measured AS (
     {f"LEFT JOIN {labels} l ON a.feature_value = l.code" if label else ""}),
 compared AS (
   SELECT *, metric_diff_percent * order_percent AS weighted_score FROM measured
-  WHERE country_total_cost_per_sku >= 100 AND {name}_analysed >= 0 AND total_order >= 10
-    AND average_price_analysed >= 100)""",
+  WHERE country_total_cost_per_sku >= {floors[0]} AND {name}_analysed >= {floors[1]}
+    AND total_order >= {floors[2]} AND average_price_analysed >= {floors[3]})""",
     ]
 
 
@@ -358,12 +369,12 @@ _TESTED = f"""round(p_value, 6) AS p_value,
 
 def _compare(
     place: str, analysed: str, baseline: str, feature: str, metric: str, rank: str = "DESC", limit: int = 30,
-    keep: str = "true",
+    keep: str = "true", floors=(100, 0, 10, 100), literal: bool = False,
 ) -> str:
     parts = [
         *_sides(place, [analysed], baseline, keep=keep),
-        *_comparison(place, feature, metric),
-        *_welch(place, feature, metric),
+        *_comparison(place, feature, metric, floors),
+        *_welch(place, feature, metric, literal),
     ]
     return _with(
         parts,
@@ -373,12 +384,14 @@ FROM (SELECT * FROM compared ORDER BY weighted_score {rank} NULLS LAST, category
     )
 
 
-def _rank(place: str, metric: str, feature: str, keep: str) -> str:
-    places = US_REGIONS if place == "region" else DMAS
+def _rank(
+    place: str, metric: str, feature: str, keep: str, places=None, floors=(100, 0, 10, 100), literal: bool = False
+) -> str:
+    places = places or (US_REGIONS if place == "region" else DMAS)
     parts = [
         *_sides(place, places, "US All", overseas=True, keep=keep),
-        *_comparison(place, feature, metric),
-        *_welch(place, feature, metric),
+        *_comparison(place, feature, metric, floors),
+        *_welch(place, feature, metric, literal),
     ]
     shown = {"region": 'region AS "Region"', "dma": 'dma AS "DMA"'}[place]
     return _with(
@@ -526,7 +539,7 @@ ORACLE_SQL: dict[str, str] = {
         [],
         """SELECT spree_so_id, order_date FROM fact_saleorder
 WHERE spree_channel = 'web' AND market = 'US' AND classification = 'complete'
-  AND order_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+  AND order_type = 'Goods' AND pure_swatch_order_flag = 'N' AND order_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
     ),
     "option_list": _with(
         [],
@@ -555,12 +568,12 @@ UNION SELECT market_sku, region, order_date FROM v""",
     "order_share_total": _with(
         _cells("cells", "region"),
         f"""SELECT market_sku, region, order_date, category, total_order,
-  {_share("region")} AS order_percent_of_total FROM cells""",
+  CASE WHEN region IS NOT NULL THEN {_share("region")} END AS order_percent_of_total FROM cells""",
     ),
     "order_share_category": _with(
         _cells("cells", "region"),
         f"""SELECT market_sku, region, order_date, category, total_order,
-  {_share("region, category")} AS order_percent_of_category FROM cells""",
+  CASE WHEN region IS NOT NULL THEN {_share("region, category")} END AS order_percent_of_category FROM cells""",
     ),
     "order_share_country": _with(
         _country(),
@@ -670,3 +683,71 @@ ORACLE_SQL |= {
         f"SELECT * REPLACE ({_REVENUE}) FROM s WHERE feature_value IS NOT NULL",
     ),
 }
+
+
+def _australian(sql: str) -> str:
+    """The same over the other market."""
+    return sql.replace("market = 'US'", "market = 'AU'").replace("%US-%", "%AU-%")
+
+
+_OPEN = (0, 0, 1, 0)
+
+
+def _in_order(parts: list[str], order: str, columns: str, source: str = "compared") -> str:
+    return _with(parts, f"SELECT row_number() OVER (ORDER BY {order}) AS \"Row\", {columns} FROM {source}")
+
+
+_RANKED = [
+    *_sides("region", US_REGIONS, "US All", overseas=True, keep=_offered("category")),
+    *_comparison("region", "category", "rev"),
+]
+_KEY = "category || ': ' || feature_value"
+_BY_SCORE = "weighted_score DESC NULLS LAST, category, feature_value"
+_FACTS = _fact("category", _offered("category"))
+
+ORACLE_SQL |= {
+    # the other market
+    "au_order_cells_region": _australian(ORACLE_SQL["order_cells_region"]),
+    "au_align_country": _australian(ORACLE_SQL["align_country"]),
+    "au_compare_region_vs_all_rev": _australian(
+        _compare("region", "AU Sydney", "US All", "category", "rev", floors=_OPEN)
+    ),
+    "au_compare_region_vs_region_cr": _australian(
+        _compare("region", "AU Sydney", "AU Perth", "collection", "cr", floors=_OPEN)
+    ),
+    "au_rank_regions_rev": _australian(
+        _rank("region", "rev", "category", _offered("category"), AU_REGIONS, _OPEN)
+    ),
+    "au_country_fact_rev": _australian(ORACLE_SQL["country_fact_rev"]),
+    # cells without orders as days of their own
+    "literal_days_compare": _compare("region", "US West", "US All", "category", "rev", literal=True),
+    "literal_days_rank_cr": _rank("region", "cr", "category", _offered("category"), literal=True),
+    "literal_days_welch": _with(
+        [*_sides(*_WEST), *_welch("region", "collection", "rev", True)],
+        f"SELECT region, category, feature_value, {_TESTED} FROM tested",
+    ),
+    # thresholds that are not the usual ones; the conversion rate is entered as a percentage
+    "thresholds_cr_percent": _compare(
+        "region", "US West", "US All", "collection", "cr", floors=(20, 250 / 100, 5, 10)
+    ),
+    "thresholds_rev_per_dv": _compare(
+        "region", "US West", "US All", "subcategory", "rev", floors=(50, 70000, 3, 200)
+    ),
+    # results in their order
+    "ordered_compare": _in_order(
+        [*_sides(*_WEST), *_comparison("region", "collection", "rev")], _BY_SCORE,
+        "category, feature_value AS collection", f"(SELECT * FROM compared ORDER BY {_BY_SCORE} LIMIT 30)",
+    ),
+    "ordered_rank_regions": _in_order(
+        _RANKED, f"{_KEY} DESC, weighted_score DESC NULLS LAST, region",
+        f"{_KEY} AS \"cate-feature\", region AS \"Region\"",
+    ),
+    "ordered_country_fact": f"""SELECT row_number() OVER (ORDER BY rev_per_dv DESC, category) AS "Row",
+  category, rev_per_dv FROM ({_FACTS})""",
+    # files
+    "product_list_from_csv": _with([], f"SELECT {', '.join(_DIMENSIONS)} FROM attributes"),
+    "report_read_back": _format_basic().replace(
+        "SELECT category || ': '",
+        f'SELECT row_number() OVER (ORDER BY {_BY_SCORE}) AS "Row", category || \': \'',
+    ),
+}

@@ -55,15 +55,18 @@ from geoaffinity.params import (
 )
 from geoaffinity.plans import analyses
 from geoaffinity.plans.kept import KeptCells
-from geoaffinity.plans.shared import shared_folder
+from geoaffinity.sources.shared import shared_folder
 from geoaffinity.plans.star_store import write_star
-from geoaffinity.sources.product_lists import of_market, option_lists
+from geoaffinity.sources.product_lists import of_market, option_lists, read_product_info
+from geoaffinity.sources.reports import numbered, read_report, report_name, write_report
 from geoaffinity.sources.star import StarTables
 from geoaffinity.sources.tpch_star import tpch_product_info, tpch_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SCOPE = Scope("US", dt.date(2024, 1, 1), dt.date(2024, 1, 30))
+AU_SCOPE = Scope("AU", SCOPE.start, SCOPE.end)
+OPEN = Thresholds(0, 0, 1, 0)
 NARROW = Scope("US", dt.date(2024, 1, 5), dt.date(2024, 1, 20))
 WEST, EAST, ALL = "US West", "US East", "US All"
 NEW_YORK, LOS_ANGELES = DMAS[0], DMAS[1]
@@ -288,6 +291,54 @@ def _kept_compare(fx: Fixture) -> DataFrame:
     return analyses.compare(fx.kept, _compare_params(WEST, ALL, "category", REV_PER_DV))
 
 
+def _au_compare(analysed: str, baseline: str, feature: str, metric: str):
+    params = CompareParams(AU_SCOPE, analysed, baseline, feature, metric, thresholds=OPEN)
+    return lambda fx: analyses.compare(fx.star, params)
+
+
+def _au_rank(fx: Fixture) -> DataFrame:
+    params = RankParams(AU_SCOPE, TwoFeatures(), thresholds=OPEN)
+    return analyses.rank_places(fx.star, params, fx.product_info)
+
+
+def _au_fact(fx: Fixture) -> DataFrame:
+    return analyses.country_fact_table(fx.star, FactParams(AU_SCOPE), fx.product_info)
+
+
+def _literal_compare(fx: Fixture) -> DataFrame:
+    params = _compare_params(WEST, ALL, "category", REV_PER_DV)
+    return analyses.compare(fx.star, params, literal_days=True)
+
+
+def _literal_rank(fx: Fixture) -> DataFrame:
+    params = RankParams(SCOPE, TwoFeatures(), CR)
+    return analyses.rank_places(fx.star, params, fx.product_info, literal_days=True)
+
+
+def _literal_welch(fx: Fixture) -> DataFrame:
+    sides = fx.compare_sides(_compare_params(WEST, ALL, "collection", REV_PER_DV))
+    return welch_table(sides, "collection", REV_PER_DV, literal_days=True)
+
+
+def _in_order(build: Callable[[Fixture], DataFrame], *columns: str):
+    """The keys of a result, numbered in the order that it comes in."""
+    return lambda fx: numbered(build(fx), shared_folder(fx.spark, "ordered")).select("Row", *columns)
+
+
+def _product_list(fx: Fixture) -> DataFrame:
+    """The product file as an analyst stores it: other columns first, in another order."""
+    folder = shared_folder(fx.spark, "products")
+    columns = ["sku_name", *reversed(fx.product_info.columns)]
+    fx.attributes.select(*columns).write.option("header", True).csv(folder)
+    return read_product_info(fx.spark, folder)
+
+
+def _report(fx: Fixture) -> DataFrame:
+    params = _compare_params(WEST, ALL, "color_tone", REV_PER_DV)
+    shown = format_basic(analyses.compare(fx.star, params), "color_tone")
+    return read_report(fx.spark, write_report(shown, shared_folder(fx.spark, "reports"), report_name(params)))
+
+
 def _summary_of_days(*keys: str):
     def build(fx: Fixture) -> DataFrame:
         numbers = bitmaps.sku_numbers(fx.attributes)
@@ -383,6 +434,33 @@ _BUILDERS: dict[str, Callable[[Fixture], DataFrame]] = {
     "kept_compare_region_vs_all": _kept_compare,
     "feature_summary_of_days": _summary_of_days(REGION),
     "feature_summary_of_places": _summary_of_days("order_date"),
+    # the other market
+    "au_order_cells_region": lambda fx: order_cells(fx.star, fx.attributes, AU_SCOPE, REGION),
+    "au_align_country": lambda fx: analyses.aligned_country_cells(fx.star, fx.attributes, AU_SCOPE),
+    "au_compare_region_vs_all_rev": _au_compare("AU Sydney", "AU All", "category", REV_PER_DV),
+    "au_compare_region_vs_region_cr": _au_compare("AU Sydney", "AU Perth", "collection", CR),
+    "au_rank_regions_rev": _au_rank,
+    "au_country_fact_rev": _au_fact,
+    # cells without orders as days of their own
+    "literal_days_compare": _literal_compare,
+    "literal_days_rank_cr": _literal_rank,
+    "literal_days_welch": _literal_welch,
+    # thresholds that are not the usual ones
+    "thresholds_cr_percent": _compare(WEST, ALL, "collection", CR, thresholds=Thresholds(20, 250, 5, 10)),
+    "thresholds_rev_per_dv": _compare(
+        WEST, ALL, "subcategory", REV_PER_DV, thresholds=Thresholds(50, 70000, 3, 200)
+    ),
+    # results in their order
+    "ordered_compare": _in_order(
+        _compare(WEST, ALL, "collection", REV_PER_DV), "category", "collection"
+    ),
+    "ordered_rank_regions": _in_order(_rank(REGIONAL, REV_PER_DV), "cate-feature", "Region"),
+    "ordered_country_fact": _in_order(
+        _fact(REV_PER_DV, TwoFeatures("category")), "category", "rev_per_dv"
+    ),
+    # files
+    "product_list_from_csv": _product_list,
+    "report_read_back": _report,
     # presentation
     "format_basic": _format_basic,
     "format_two_feature": _format_two_feature,

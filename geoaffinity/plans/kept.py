@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geoaffinity.operators.cells import DMA, REGION, order_measures
 from geoaffinity.params import Scope
-from geoaffinity.plans.shared import file_system, hadoop_path, remove
+from geoaffinity.sources.shared import file_system, hadoop_path, remove
 from geoaffinity.sources.fetch import fetch
 from geoaffinity.sources.star import StarTables
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoaffinity.plans.shared import remove
+from geoaffinity.sources.shared import remove
 
 
 class CellStore:

@@ -19,16 +19,21 @@ def fetch(statement: str, facts: DataFrame, scope: Scope) -> DataFrame:
     return facts.sparkSession.sql(statement, args=arguments, facts=facts)
 
 
-def day_predicates(column: str, start: dt.date, end: dt.date, days: int) -> list[str]:
-    """Disjoint SQL conditions that cut a period, both ends included, into so many days each.
+def covering_predicates(column: str, first: dt.date | None, last: dt.date | None, days: int) -> list[str]:
+    """Disjoint SQL conditions that together hold for every row, each for so many days.
 
-    Without the rows outside the period, and one partition of a JDBC read for each.
+    first, last: the least and greatest day that the column holds when the read is planned. Rows
+    written later fall to the first or the last piece, rows without a day to a piece of their own.
     """
-    if days < 1 or end < start:
-        raise ValueError("a period needs its start first and pieces of at least a day")
-    found = []
-    while start <= end:
-        following = min(start + dt.timedelta(days), end + dt.timedelta(1))
-        found.append(f"{column} >= DATE '{start}' AND {column} < DATE '{following}'")
-        start = following
+    if days < 1:
+        raise ValueError("a piece holds a day at least")
+    found = [f"{column} IS NULL"]
+    if first is None or last is None:
+        return [*found, f"{column} IS NOT NULL"]
+    starts = [first + dt.timedelta(n) for n in range(0, (last - first).days + 1, days)]
+    for n, start in enumerate(starts):
+        ends = [f"{column} >= DATE '{start}'"] if n else []
+        if n + 1 < len(starts):
+            ends.append(f"{column} < DATE '{starts[n + 1]}'")
+        found.append(" AND ".join(ends) or f"{column} IS NOT NULL")
     return found

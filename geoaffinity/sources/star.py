@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from geoaffinity.schemas import FACT_TABLES, ORDER_PARTITIONS, STAR_SCHEMAS, conform, table_schema
+from geoaffinity.sources.fetch import covering_predicates
 
 
 class StarTables:
@@ -72,20 +73,28 @@ def read_jdbc_star(
     spark: SparkSession,
     url: str,
     properties: Mapping[str, str],
-    fact_predicates: Mapping[str, Sequence[str]],
+    fact_predicates: Mapping[str, Sequence[str]] | None = None,
+    fact_days: Mapping[str, tuple[str, int]] | None = None,
     zone: str = "UTC",
 ) -> StarTables:
     """Tables of a SQL warehouse.
 
-    Every fact table needs its list of disjoint SQL predicates (one per date range, say): each
-    becomes one partition, so no fact is drawn through a single connection.
+    Every fact table needs its list of disjoint SQL predicates, or the name of its day column and a
+    number of days: its bounds are then asked for and each piece of so many days becomes one
+    partition. So no fact is drawn through a single connection.
     """
-    unsplit = [name for name in FACT_TABLES if not fact_predicates.get(name)]
+    written, by_day = dict(fact_predicates or {}), dict(fact_days or {})
+    unsplit = [name for name in FACT_TABLES if not written.get(name) and name not in by_day]
     if unsplit:
         raise ValueError(f"fact tables without predicates: {', '.join(unsplit)}")
 
+    def planned(name: str) -> list[str]:
+        column, days = by_day[name]
+        query = f"(SELECT CAST(min({column}) AS DATE) AS a, CAST(max({column}) AS DATE) AS z FROM {name}) bounds"
+        return covering_predicates(column, *spark.read.jdbc(url, query, properties=dict(properties)).first(), days)
+
     def read(name: str) -> DataFrame:
-        predicates = fact_predicates.get(name)
+        predicates = written.get(name) or (planned(name) if name in by_day else None)
         return spark.read.jdbc(
             url,
             name,

@@ -26,6 +26,8 @@ _NATION_DMAS = {
     5: "San Francisco-Oakland-San Jose CA",
     3: "Seattle-Tacoma WA",
 }
+# The nation whose customers have no region.
+_NOWHERE = 7
 # The views name one of this many products; they are spread over all products by user.
 _VIEWED_NUMBERS = 100
 _PERIOD_DAYS = 30
@@ -65,7 +67,7 @@ class _Source:
             .selectExpr(
                 "n_nationkey",
                 "IF(n_nationkey < 20, 'US', 'AU') AS market",
-                f"IF(n_nationkey < 20, {us}, {au}) AS region",
+                f"IF(n_nationkey = {_NOWHERE}, NULL, IF(n_nationkey < 20, {us}, {au})) AS region",
                 "'Z' || n_nationkey AS zip",
                 "n_nationkey + 500 AS dma_code",
                 f"{_case('n_nationkey', _NATION_DMAS, 'NULL')} AS metro",
@@ -93,8 +95,8 @@ class _Source:
                 f"CAST(date_add(DATE'2024-01-01', {days}) AS TIMESTAMP_NTZ) AS payment_completion_time",
                 "IF(o_orderpriority = '5-LOW', 'app', 'web') AS spree_channel",
                 "IF(o_orderstatus = 'P', 'pending', 'complete') AS classification",
-                "'Goods' AS order_type",
-                "'N' AS pure_swatch_order_flag",
+                "IF(o_custkey % 11 = 0, 'Service', 'Goods') AS order_type",
+                "IF(o_orderkey % 13 = 0, 'Y', 'N') AS pure_swatch_order_flag",
                 "zip AS shipping_zip_code",
             )
         )
@@ -217,7 +219,7 @@ class _Source:
                 "'All' AS master_category",
                 "IF(p_type = 'PROMO', 'Swatch', p_type) AS category",
                 "IF(p_brand = 'Brand#25', 'Accident Protection Plan', p_brand) AS subcategory",
-                "split_part(p_name, ' ', 2) AS collection",
+                "IF(p_partkey % 19 = 0, NULL, split_part(p_name, ' ', 2)) AS collection",
                 "split_part(p_name, ' ', 1) AS color_tone",
             )
         )
