@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,13 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from geoaffinity.llm.frames import batch_of, columns_of, utf8
-from geoaffinity.llm.merges import MergeTable, read_merges
+from geoaffinity.llm.frames import batch_of, small_columns_of, utf8
+from geoaffinity.llm.merges import PAST_LATIN, MergeTable, read_merges, split_by_library, unassigned
 
 #: Fixed value: the pattern of a word; text between words is dropped.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Encoded words that a Python worker remembers; forgotten all together when full.
-REMEMBERED = 500_000
+#: Encoded words that a Python worker remembers, and characters of the longest among them;
+#: forgotten all together when full.
+REMEMBERED, LONGEST = 150_000, 64
 #: Characters of text whose words are encoded at once.
 CHUNK = 1_000_000
 
@@ -56,24 +56,6 @@ def lower(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-#: The first unassigned character is U+0378; most texts hold none from there on.
-PAST_LATIN = re.compile("[\u0378-\U0010ffff]")
-
-
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Matches the characters that Python's Unicode tables leave unassigned."""
-    free = [unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]
-    ranges, start = [], None
-    for c, is_free in enumerate([*free, False]):
-        if is_free and start is None:
-            start = c
-        elif not is_free and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
-
-
 class PairTest:
     """Tests many adjacent token pairs at once."""
 
@@ -125,9 +107,10 @@ class WordEncoder:
         self.word = regex.compile(WORD)
         self.special = re.compile("(" + "|".join(map(re.escape, table.special)) + ")")
         self.letters = {b: table.symbols[i] for b, i in enumerate(table.first)}
-        self.known: dict[str, tuple[bytes, str]] = {}
         self.exact = 0
+        # no word is a special string: texts are parted there before words are looked for
         self.special_form = {s: (packed([i]), s) for s, i in table.special.items()}
+        self.known: dict[str, tuple[bytes, str]] = dict(self.special_form)
 
     def speculate(self, spelled: str) -> list[int]:
         """Longest vocabulary strings from left to right; only the last may carry the word end."""
@@ -185,26 +168,24 @@ class WordEncoder:
         """The same for texts with characters that Python's older Unicode tables do not know."""
         if self.library is None:
             self.library = Tokenizer.from_file(self.path)
-        text = self.library.normalizer.normalize_str(piece)
-        byte_of = {letter: b for b, letter in self.letters.items()}
-        return [
-            bytes(byte_of[letter] for letter in word).decode("utf-8")
-            for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)
-        ]
+        return split_by_library(self.library, self.table, piece)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str, int]]:
         """For each text: its ids as little-endian 32-bit integers, its decoded text, its words."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+            known.update(self.special_form)
         split = [self.split(text) for text in texts]
-        new = {word for found in split for word in found}.difference(self.known)
-        new.difference_update(self.special_form)
+        new = {word for found in split for word in found}.difference(known)
         if new:
             self.learn(sorted(new))
-        forms = self.known | self.special_form if any("<|" in t for t in texts) else self.known
         for found in split:
-            parts = [forms[word] for word in found]
+            parts = [known[word] for word in found]
             yield b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), len(found)
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -234,7 +215,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for ids, texts in columns_of(batches):
+        for ids, texts in small_columns_of(batches):
             tokens, id_hashes, text_hashes, words = [], [], [], []
             for chunk in _chunks([text or "" for text in texts]):
                 for raw, decoded, found in encoder.encode(chunk):

@@ -29,6 +29,43 @@ def columns_of(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[
             yield [column.to_pylist() for column in part.columns]
 
 
+def small_columns_of(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[list[list]]:
+    """The same with a bound on the bytes of each part too, of more rows than one."""
+
+    def parts(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if part.num_rows <= 1 or (part.num_rows <= rows and part.nbytes <= size):
+            yield part
+            return
+        half = part.num_rows // 2
+        yield from parts(part.slice(0, half))
+        yield from parts(part.slice(half))
+
+    for batch in batches:
+        for part in parts(batch):
+            yield [column.to_pylist() for column in part.columns]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send no more than 1,000 rows or 8 MB to a Python worker at once.
+
+    A batch is held by Spark and by the worker, as Arrow and as Python objects; a thousand texts
+    are work enough for it. Smaller bounds that are already set stay.
+    """
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
+def unused(names: list[str], taken: list[str]) -> list[str]:
+    """Column names like these that differ from all taken ones, in any case."""
+    lowered = {name.lower() for name in taken}
+    while any(name.lower() in lowered for name in names):
+        names = [f"_{name}" for name in names]
+    return names
+
+
 def batch_of(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(column, type=field.type) for column, field in zip(columns, schema, strict=True)],

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
+import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -18,6 +21,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+#: The first unassigned character is U+0378; most texts hold none from there on.
+PAST_LATIN = re.compile("[\u0378-\U0010ffff]")
+
+
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Matches the characters that Python's Unicode tables leave unassigned."""
+    free = [unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]
+    ranges, start = [], None
+    for c, is_free in enumerate([*free, False]):
+        if is_free and start is None:
+            start = c
+        elif not is_free and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 @dataclass(frozen=True)
 class MergeTable:
     """A byte-level BPE: symbols by id, ranks of the pairs that merge, special strings.
@@ -127,3 +148,17 @@ def _merge_long(ids: list[int], pairs: dict[tuple[int, int], int], made: list[in
         if start >= 0 and (rank := pairs.get((ids[start], new))) is not None:
             heapq.heappush(queue, (rank, start))
     return [i for i in ids if i >= 0]
+
+
+def split_by_library(library, table: MergeTable, piece: str) -> list[str]:
+    """The words of a piece of text as the tokenizer's own library splits it.
+
+    For texts with characters of which the Unicode tables here and there may differ.
+    """
+    if library.normalizer is not None:
+        piece = library.normalizer.normalize_str(piece)
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+    return [
+        bytes(byte_of[letter] for letter in word).decode("utf-8")
+        for word, _ in library.pre_tokenizer.pre_tokenize_str(piece)
+    ]

@@ -3,7 +3,9 @@
 Once, on the driver, every vocabulary string is merged alone; those that come out as themselves
 are proven whole. A text is split into pre-tokens as the tokenizer splits it; a pre-token that is
 proven whole counts one, and only the rest are merged. The proof holds for any text because the
-merge of a pre-token looks at nothing outside it.
+merge of a pre-token looks at nothing outside it. Pieces of text with characters that Python's
+Unicode tables leave unassigned are split by the tokenizer's library, whose tables may differ from
+those of the pattern here.
 """
 
 from __future__ import annotations
@@ -14,9 +16,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from geoaffinity.llm.frames import batch_of, columns_of, utf8
-from geoaffinity.llm.merges import MergeTable, byte_letters, read_merges
+from geoaffinity.llm.merges import (
+    PAST_LATIN,
+    MergeTable,
+    byte_letters,
+    read_merges,
+    split_by_library,
+    unassigned,
+)
 
 #: Fixed value: the pattern by which the tokenizer splits text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,12 +63,23 @@ def prove_whole(table: MergeTable) -> frozenset[str]:
 class TokenCounter:
     """Counts the tokens of texts; remembers a bounded number of merged pre-tokens."""
 
-    def __init__(self, table: MergeTable, whole: frozenset[str]):
-        self.table, self.whole = table, whole
+    def __init__(self, path: str, whole: frozenset[str]):
+        self.path, self.library = path, None
+        self.table = table = read_merges(path)
+        self.whole = whole
+        self.unsure = unassigned()
         self.pre_token = regex.compile(PRE_TOKEN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(table.special, key=len, reverse=True))))
         self.merged: dict[str, int] = {}
 
+    def split(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece of text without special strings."""
+        if piece.isascii() or not PAST_LATIN.search(piece) or not self.unsure.search(piece):
+            return self.pre_token.findall(piece)
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        return split_by_library(self.library, self.table, piece)
+
     def count(self, text: str) -> tuple[int, int, int]:
         """(tokens, pre-tokens counted whole, pre-tokens merged) of one text."""
         specials, pieces = 0, [text]
@@ -67,7 +88,7 @@ class TokenCounter:
             specials = len(pieces) - 1
         counts: Counter[str] = Counter()
         for piece in pieces:
-            counts.update(self.pre_token.findall(piece))
+            counts.update(self.split(piece))
         shortcut = tokens = merged = 0
         for pre_token, times in counts.items():
             if pre_token in self.whole:
@@ -91,7 +112,7 @@ _COUNTERS: dict[str, TokenCounter] = {}
 def _counter(path: str, whole: frozenset[str]) -> TokenCounter:
     """The worker's counter, which later tasks of the worker use again."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(read_merges(path), whole)
+        _COUNTERS[path] = TokenCounter(path, whole)
     return _COUNTERS[path]
 
 
