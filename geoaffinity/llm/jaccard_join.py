@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoaffinity.llm.frames import batch_of, checkpointed, columns_of, stored, words
+from geoaffinity.llm.frames import batch_of, checkpointed, columns_of, stored, unused, words
 from geoaffinity.llm.hashing import WordHashes, bitmap_of, digest, in_bitmap, long_rows, mixed, windows
 from geoaffinity.llm.links import components
 
@@ -337,11 +337,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def word_key(text: Column) -> Column:
+    """A hash of a text's words, A-Z in lower case; null without words. DataFrame functions only."""
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    spaced = F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " "))
+    return F.when(F.length(spaced) > 0, F.sha2(spaced, 256))
+
+
+def one_row_each(docs: DataFrame, key: str) -> DataFrame:
+    """One row for each value of a column: that of the least text, null texts first."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rank = F.struct(F.col("text").isNotNull(), F.col("text").cast("string"))
+    return docs.groupBy(F.col(key)).agg(F.min_by(row, rank).alias("one")).select("one.*")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component, or without any shingle.
 
-    Of rows that share this doc_id all stay. Rows without doc_id all stay, copies of other rows included.
+    Rows that share this doc_id are one document, of which the row of the least text stays. Of rows
+    without doc_id those go that have the words of a row with doc_id; of others of the same words
+    one stays, and those without words all stay.
     """
+    names = docs.columns
+    later_id, key = unused(["later_id", "word_key"], names)
+    ids = docs["doc_id"].cast("long")
     found = jaccard_components(docs).filter("doc_id is not null")
-    later = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("later_id")).distinct()
-    return docs.join(later, docs["doc_id"].cast("long") == F.col("later_id"), "left_anti")
+    later = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(later_id)).distinct()
+    kept = docs.filter(ids.isNotNull()).join(later, ids == F.col(later_id), "left_anti")
+    again = checkpointed(found.groupBy(F.col("doc_id").alias(later_id)).count().filter("count > 1").select(later_id))
+    if not again.isEmpty():
+        several = one_row_each(kept.join(again, ids == F.col(later_id), "left_semi").withColumn(later_id, ids), later_id)
+        kept = kept.join(again, ids == F.col(later_id), "left_anti").union(several.select(*kept.columns))
+    nameless = docs.filter(ids.isNull())
+    if nameless.isEmpty():
+        return kept
+    nameless = nameless.withColumn(key, word_key(docs["text"].cast("string")))
+    named = docs.filter(ids.isNotNull()).select(word_key(docs["text"].cast("string")).alias(key)).distinct()
+    wordless = nameless.filter(F.col(key).isNull()).select(*kept.columns)
+    others = one_row_each(nameless.filter(F.col(key).isNotNull()).join(named, key, "left_anti"), key)
+    return kept.union(wordless).union(others.select(*kept.columns))

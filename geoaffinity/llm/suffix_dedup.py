@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoaffinity.llm.frames import checkpointed, columns_of, stored, words
+from geoaffinity.llm.frames import checkpointed, columns_of, stored, unused, words
 from geoaffinity.llm.hashing import WordHashes, bitmap_of, digest, in_bitmap, long_rows, windows
 
 #: Words of the shortest passage that counts, and of a seed.
@@ -168,14 +168,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     the white space that follows each. A row of which nothing remains goes. If there is a column
     n_chars it gets the length of the new text.
     """
+    names = docs.columns
+    cut_id, cuts, is_cut = unused(["cut_id", "cuts", "is_cut"], names)
     spans = (
         repeated_passages(docs)
         .filter("repeat")
-        .groupBy(F.col("doc_id").alias("cut_id"))
-        .agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+        .groupBy(F.col("doc_id").alias(cut_id))
+        .agg(F.collect_list(F.struct("start", "end")).alias(cuts))
     )
-    names = docs.columns
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("cut_id"), "left")
+    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col(cut_id), "left")
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
@@ -183,12 +184,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([remaining(t, c) for t, c in zip(texts, cuts, strict=True)])
 
-    changed = F.when(F.col("cuts").isNull(), docs["text"]).otherwise(cut(docs["text"].cast("string"), F.col("cuts")))
-    out = joined.select(*[changed.alias(c) if c == "text" else docs[c] for c in names], F.col("cuts").isNotNull().alias("_cut"))
+    changed = F.when(F.col(cuts).isNull(), docs["text"]).otherwise(cut(docs["text"].cast("string"), F.col(cuts)))
+    out = joined.select(*[changed.alias(c) if c == "text" else docs[c] for c in names], F.col(cuts).isNotNull().alias(is_cut))
     if "n_chars" in names:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), size).otherwise(F.col("n_chars")))
-    return out.filter(~F.col("_cut") | (F.length("text") > 0)).select(*names)
+        out = out.withColumn("n_chars", F.when(F.col(is_cut), size).otherwise(F.col("n_chars")))
+    return out.filter(~F.col(is_cut) | (F.length("text") > 0)).select(*names)
 
 
 def remaining(text: str | None, cuts: object) -> str | None:
