@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geoaffinity.llm import bpe_words, jaccard_join, mixing, queries, suffix_dedup, toxicity
-from geoaffinity.llm.frames import stored
+from geoaffinity.llm.frames import small_batches, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +18,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A document's verdict is its own text's, so rows that share a doc_id are judged each.
     """
+    small_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id."""
+    """One row of each group of near duplicates, that of the least doc_id.
+
+    Rows without doc_id stay if no other row has their words.
+    """
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more only where they occur first."""
+    small_batches(spark)
     return suffix_dedup.without_repeats(docs)
 
 
@@ -38,6 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and hashes of ids and decoded text, one row for each document of the mix."""
+    small_batches(spark)
     return bpe_words.encode_and_decode(docs, queries.tokenizer("word_bpe_49k.json"))
 
 
