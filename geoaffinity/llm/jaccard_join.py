@@ -17,6 +17,10 @@ component has none, and elsewhere only documents outside the largest component a
 is left out only if it is proved not to be alike, by positions (of the shingles before a shared one
 only those that occur in a second prefix can be common) or by signatures (parities of 256 buckets:
 two sets differ in as many shingles as their signatures differ in bits, at least).
+
+Texts are read twice: for frequencies, and for prefixes, which are written once, a row for each
+document; candidates' texts are read again to verify them. Signatures stay in a row for each document
+and meet pairs, or the rows of shingles that are still open, only.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoaffinity.llm.frames import batch_of, checkpointed, columns_of, stored, unused, words
+from geoaffinity.llm.frames import batch_of, checkpointed, columns_of, small_columns_of, stored, unused, words
 from geoaffinity.llm.hashing import WordHashes, bitmap_of, digest, in_bitmap, long_rows, mixed, windows
 from geoaffinity.llm.links import components
 
@@ -41,6 +45,9 @@ COUNT_BITS = 20
 #: in index rows.
 MOST_MATCHES = 4
 VERIFY_COST = 20
+#: Bits of the bitmap of shingles that occur again: 16 for each, within these bounds (2 and 16 MB).
+#: Beyond them it lets more single shingles through, which only cost rows.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27
 _BLOCK = 1 << 13
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
 
@@ -73,13 +80,13 @@ def scan(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
-        for ids, texts in columns_of(batches):
+        for ids, texts in small_columns_of(batches):
             digests, sizes = [], []
             for text in texts:
                 found, shingles = shingle_set(text, hashes)
                 digests.append(digest(found) if found else None)
                 sizes.append(len(shingles))
-                np.add.at(counts, _bucket(shingles), 1)
+                np.add.at(counts, _bucket(shingles), np.uint32(1))
             none = [None] * len(ids)
             yield batch_of(_SCAN_ARROW, [ids, digests, sizes, none, none])
         blocks = [b for b in range(0, 1 << COUNT_BITS, _BLOCK) if counts[b : b + _BLOCK].any()]
@@ -118,6 +125,16 @@ def least_overlap(n: int) -> int:
     return (4 * n + 4) // 5
 
 
+def first_prefix(n: int) -> int:
+    """The length of the 1-prefix of a set of n; each shingle more asks for one match more."""
+    return n - least_overlap(n) + 1
+
+
+def match_levels(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The least m of which the shingle at a position (from 1) of a set of n is in the m-prefix."""
+    return np.maximum(1, pos - first_prefix(n) + 1)
+
+
 def prefix(shingles: np.ndarray, levels: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray, int]:
     """The longest prefix needed of a set, the match level of each shingle in it, and its m.
 
@@ -125,9 +142,9 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, usual: float) -> tuple[np.n
     """
     n = len(shingles)
     level = levels[_bucket(shingles)]
-    shingles = shingles[np.lexsort((shingles, level))]
-    level = np.sort(level)
-    first = n - least_overlap(n) + 1
+    order = np.lexsort((shingles, level))
+    shingles, level = shingles[order], level[order]
+    first = first_prefix(n)
     most = min(MOST_MATCHES, least_overlap(n))
     df = np.maximum(1.0, 2.0 ** (level[: first + most - 1] / 4) - 2.0 ** (usual / 4))
     sums = np.cumsum(df)
@@ -135,7 +152,7 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, usual: float) -> tuple[np.n
     rows = sums[first - 1 : first + most - 1]
     m = int(np.argmin(rows + VERIFY_COST * rows / matches)) + 1
     length = first + m - 1
-    return shingles[:length], np.maximum(1, np.arange(1, length + 1) - first + 1), m
+    return shingles[:length], match_levels(np.arange(1, length + 1), n), m
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -144,62 +161,90 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, levels: np.ndarray) -> Iterator[list[tuple]]:
-    """(doc, set size, prefix, match levels, m, signature) of first documents' texts, some at a time."""
-    hashes = WordHashes()
-    usual = float(np.median(levels))
-    for ids, texts in columns_of(batches):
-        held = []
-        first = in_bitmap(firsts, np.array(ids, np.int64))
-        for doc, text, asked in zip(ids, texts, first, strict=True):
-            shingles = shingle_set(text, hashes)[1] if asked else ()
-            if len(shingles):
-                held.append((doc, len(shingles), *prefix(shingles, levels, usual), signature(shingles)))
-        if held:
-            yield held
+def asked_rows(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose id, the first column, may be in a bitmap."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy(zero_copy_only=False))))
 
 
-def prefix_shingles(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """Rows (shingle) of the prefixes of the first documents among docs (doc_id, text)."""
+def prefixes(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray) -> DataFrame:
+    """A row (doc, set size n, m, prefix, signature) for each of the first documents among docs
+    (doc_id, text) that has shingles."""
     shared = docs.sparkSession.sparkContext.broadcast((firsts, levels))
+    fields = [("doc", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+    schema = pa.schema([*fields, *[(s, pa.int64()) for s in _SIGNATURE]])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _prefixes(batches, *shared.value):
-            yield from long_rows(["shingle"], [np.concatenate([h[2] for h in held]).view(np.int64)])
-
-    return docs.mapInArrow(rows, "shingle long")
-
-
-def index_rows(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray, again: np.ndarray) -> DataFrame:
-    """Rows (shingle, doc, n, pos, level, m, signature) of the same prefixes, without shingles that
-    occur once."""
-    shared = docs.sparkSession.sparkContext.broadcast((firsts, levels, again))
-    names = ["shingle", "doc", "n", "pos", "level", "m", *_SIGNATURE]
+        hashes = WordHashes()
+        firsts, levels = shared.value
+        usual = float(np.median(levels))
+        for ids, texts in small_columns_of(asked_rows(batches, firsts)):
+            held = []
+            for doc, text in zip(ids, texts, strict=True):
+                shingles = shingle_set(text, hashes)[1]
+                if len(shingles):
+                    found, _, m = prefix(shingles, levels, usual)
+                    held.append((doc, len(shingles), m, found.view(np.int64), *signature(shingles)))
+            if held:
+                yield batch_of(schema, list(zip(*held, strict=True)))
+
+    return docs.mapInArrow(rows, "doc long, n long, m long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SIGNATURE))
+
+
+def index_rows(written: DataFrame, again: np.ndarray) -> DataFrame:
+    """Rows (shingle, doc, n, m, pos, before, level) of the shingles in prefixes that may occur again.
+
+    pos: from 1. before: how many of those before it may occur again. level: the least m of which the
+    shingle is in the m-prefix.
+    """
+    shared = written.sparkSession.sparkContext.broadcast(again)
+    names = ["shingle", "doc", "n", "m", "pos", "before", "level"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, levels, again = shared.value
-        for held in _prefixes(batches, firsts, levels):
-            columns = []
-            for doc, n, found, level, m, signed in held:
-                pos = np.flatnonzero(in_bitmap(again, found))
-                size = len(pos)
-                columns.append([found[pos].view(np.int64), np.full(size, doc), np.full(size, n), pos + 1, level[pos], np.full(size, m), *[np.full(size, s) for s in signed]])
-            yield from long_rows(names, [np.concatenate(c) for c in zip(*columns, strict=True)])
-
-    return docs.mapInArrow(rows, ", ".join(f"{name} long" for name in names))
-
-
-def may_be_alike(x: str, y: str) -> Column:
-    """Whether positions of a shared shingle and signatures allow similarity 0.8 of rows x and y.
-
-    It takes a common share of 4 / 9 of both sizes, so a difference of a ninth of them at most.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, n, m = (batch.column(k).to_numpy() for k in range(3))
+            lists = batch.column(3)
+            sizes = np.diff(lists.offsets.to_numpy())
+            shingle = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            starts = (np.cumsum(sizes) - sizes)[row]
+            at = np.flatnonzero(in_bitmap(shared.value, shingle))
+            own = row[at]
+            pos = at - starts[at] + 1
+            kept = np.bincount(own, minlength=len(sizes))
+            before = np.arange(len(at)) - (np.cumsum(kept) - kept)[own]
+            columns = [shingle[at], doc[own], n[own], m[own], pos, before, match_levels(pos, n[own])]
+            yield from long_rows(names, columns)
+
+    return written.select("doc", "n", "m", "prefix").mapInArrow(rows, ", ".join(f"{name} long" for name in names))
+
+
+def signatures(written: DataFrame) -> DataFrame:
+    """(doc, n, signature): null where texts of one doc and n have several."""
+    of = F.struct(*_SIGNATURE)
+    found = written.groupBy("doc", "n").agg(F.min(of).alias("least"), F.max(of).alias("most"))
+    return found.select("doc", "n", F.when(F.col("least") == F.col("most"), F.col("least")).alias("signed"))
+
+
+def allowed_by_place(x: str, y: str) -> Column:
+    """Whether the positions of a shared shingle allow similarity 0.8 of rows x and y.
+
+    It takes a common share of 4 / 9 of both sizes.
     """
     c = F.col
     rest = F.least(c(f"{x}n") - c(f"{x}pos"), c(f"{y}n") - c(f"{y}pos"))
     overlap = F.least(c(f"{x}before"), c(f"{y}before")) + 1 + rest
-    sizes = c(f"{x}n") + c(f"{y}n")
-    apart = sum((F.bit_count(c(f"{x}{s}").bitwiseXOR(c(f"{y}{s}"))) for s in _SIGNATURE), F.lit(0))
-    return (9 * overlap >= 4 * sizes) & (9 * apart <= sizes)
+    return 9 * overlap >= 4 * (c(f"{x}n") + c(f"{y}n"))
+
+
+def allowed_by_signature(x: str, y: str) -> Column:
+    """Whether the signatures of x and y do: sets alike differ in a ninth of both sizes at most."""
+    c = F.col
+    apart = sum((F.bit_count(c(f"{x}signed.{s}").bitwiseXOR(c(f"{y}signed.{s}"))) for s in _SIGNATURE), F.lit(0))
+    return F.coalesce(9 * apart <= c(f"{x}n") + c(f"{y}n"), F.lit(True))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -210,9 +255,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for doc_ids, texts in columns_of(batches):
-            asked = in_bitmap(bitmap.value, np.array(doc_ids, np.int64)) if doc_ids else []
-            kept = [(d, shingle_set(t, hashes)[1]) for d, t, yes in zip(doc_ids, texts, asked, strict=True) if yes]
+        for doc_ids, texts in small_columns_of(asked_rows(batches, bitmap.value)):
+            kept = [(d, shingle_set(t, hashes)[1]) for d, t in zip(doc_ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary())],
                 names=["doc", "shingles"],
@@ -245,34 +289,32 @@ def similar_links(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray) -> Da
     firsts: a bitmap of their ids. A copy found in it by chance is treated as a first document
     too; its link to the true first is right.
     """
-    once_more = prefix_shingles(docs, firsts, levels).groupBy("shingle").count().filter("count > 1")
-    index = stored(index_rows(docs, firsts, levels, bitmap_of(once_more, "shingle")))
-    leaders = stored(
-        index.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "doc", "n", *_SIGNATURE)).alias("lead"))
-        .filter("size > 1")
-        .select(
-            "shingle", F.col("lead.doc").alias("l_doc"), F.col("lead.pos").alias("l_pos"), F.col("lead.n").alias("l_n"),
-            (F.col("lead.pos") - 1).alias("l_before"), *[F.col(f"lead.{s}").alias(f"l_{s}") for s in _SIGNATURE],
-        )
+    written = stored(prefixes(docs, firsts, levels))
+    counts = written.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count()
+    once_more = checkpointed(counts.filter("count > 1").select("shingle"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * once_more.count()).bit_length()))
+    index = stored(index_rows(written, bitmap_of(once_more, "shingle", bits)))
+    signed = checkpointed(signatures(written))
+    lead = F.min(F.struct("pos", "doc", "n", "before")).alias("lead")
+    leaders = (
+        index.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), lead).filter("size > 1")
+        .select("shingle", *[F.col(f"lead.{c}").alias(f"l_{c}") for c in ("pos", "doc", "n", "before")])
     )
-    in_order = Window.partitionBy("doc", "n").orderBy("pos")
-    shared = stored(
-        index.join(leaders, "shingle").withColumn("before", F.row_number().over(in_order).cast("long") - 1)
-    )
+    shared = stored(index.join(leaders, "shingle"))
     best = (
         shared.filter(F.col("doc") != F.col("l_doc"))
-        .filter(may_be_alike("", "l_"))
-        .groupBy("doc", "l_doc")
+        .filter(allowed_by_place("", "l_"))
+        .groupBy("doc", "n", "l_doc", "l_n")
         .agg(F.count(F.lit(1)).alias("matches"))
+        .join(signed, ["doc", "n"])
+        .join(signed.select(*[F.col(c).alias(f"l_{c}") for c in ("doc", "n", "signed")]), ["l_doc", "l_n"])
+        .filter(allowed_by_signature("", "l_"))
         .groupBy("doc")
         .agg(F.max(F.struct("matches", -F.col("l_doc"), "l_doc")).alias("best"))
     )
     first = verified(docs, best.select(F.col("doc").alias("a"), F.col("best.l_doc").alias("b")))
     labels = checkpointed(components(first))
-    marked = shared.select("shingle", "doc", "n", "pos", "before", "level", "m", *_SIGNATURE).join(
-        labels, F.col("doc") == F.col("node"), "left"
-    )
+    marked = shared.drop("l_pos", "l_doc", "l_n", "l_before").join(labels, F.col("doc") == F.col("node"), "left")
     marked = stored(marked.withColumn("component", F.coalesce("component", "doc")).drop("node"))
     largest = (
         marked.groupBy("shingle", "component")
@@ -282,7 +324,7 @@ def similar_links(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray) -> Da
         .filter("components > 1")
         .select("shingle", F.col("top.component").alias("major"))
     )
-    open_rows = stored(marked.join(largest, "shingle"))
+    open_rows = stored(marked.join(largest, "shingle").join(signed, ["doc", "n"]))
     x = open_rows.filter("component <> major").select(*[F.col(c).alias(f"x_{c}") for c in open_rows.columns])
     y = open_rows.select(*[F.col(c).alias(f"y_{c}") for c in open_rows.columns])
     m = F.least("x_m", "y_m")
@@ -294,7 +336,8 @@ def similar_links(docs: DataFrame, firsts: np.ndarray, levels: np.ndarray) -> Da
             & ((F.col("y_component") == F.col("x_major")) | (F.col("x_doc") < F.col("y_doc")))
             & (F.col("x_level") <= m)
             & (F.col("y_level") <= m)
-            & may_be_alike("x_", "y_"),
+            & allowed_by_place("x_", "y_")
+            & allowed_by_signature("x_", "y_"),
         )
         .groupBy(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"), m.alias("m"))
         .agg(F.count(F.lit(1)).alias("matches"))
