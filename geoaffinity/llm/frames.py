@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,13 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def smallest_hashes(place: Column, rows: int, total: int) -> tuple[Column, float]:
+    """Whether a 64-bit hash is among the least that some more rows than these have, of a total; and
+    the share of all hashes that this is. What is chosen this way needs no sort of all rows."""
+    share = min(1.0, (1.2 * rows + 200) / max(1, total))
+    return place <= F.lit(min((1 << 63) - 1, int(share * 2**64) - (1 << 63))), share
+
+
 def crc_fold(column: str = "doc_id", folds: int = 5):
     """crc32 of an id as text, modulo the number of folds; 0 for a null id."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -17,6 +17,7 @@ exact, on the original vectors in double precision.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoaffinity.llm.frames import checkpointed, stored
+from geoaffinity.llm.frames import checkpointed, smallest_hashes, stored
 
 FIT_ROWS = 20_000
 BRANCHES = 8
@@ -205,16 +206,27 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float =
 
     embeddings: (vec_id, embedding). Returns query_id, rank, vec_id, score (Euclidean distance).
     Vectors that are null or zero, or hold null or non-finite components, take no part, nor do rows
-    without vec_id, nor vectors of another length than most (the longest of equally frequent). Of rows with the same
-    vec_id the least vector counts. Ties go to the smaller vec_id. With fewer than k candidates a
-    query gets those found. Other columns are not read. Without queries the result is empty.
+    without vec_id. Vectors of different lengths have no distance: each length has a tree of its own
+    and is searched by itself, one after the other. Of rows with the same vec_id the least vector
+    counts. Ties go to the smaller vec_id. With fewer than k candidates a query gets those found.
+    Other columns are not read. Without queries the result is empty.
     """
-    spark = embeddings.sparkSession
     points = stored(usable(embeddings))
-    lengths = points.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
-    points = points.filter(F.size("vector") == (lengths["length"] if lengths else 0))
-    sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("vector").collect()
-    total = lengths["count"] if lengths else 0
+    asked = F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")
+    lengths = points.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("total"), asked)
+    lengths = [(r["length"], r["total"]) for r in lengths.filter("asked > 0 and total > 1").orderBy("length").collect()]
+    found = [
+        search_length(points.filter(F.size("vector") == length), total, every, k, recall, fit_rows)
+        for length, total in lengths or [(0, 0)]
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def search_length(points: DataFrame, total: int, every: int, k: int, recall: float, fit_rows: int) -> DataFrame:
+    """The search among so many points (vec_id, vector), each id once, of one length."""
+    spark = points.sparkSession
+    place = F.xxhash64("vec_id")
+    sample = points.filter(smallest_hashes(place, fit_rows, total)[0]).orderBy(place, "vec_id").limit(fit_rows).select("vector").collect()
     leaf_rows = max(LEAF_ROWS, LEAF_ROOTS * math.isqrt(total))
     leaf_fit = max(LEAF_FIT, math.ceil(leaf_rows * len(sample) / max(1, total)))
     tree = fit_tree(np.array([row["vector"] for row in sample], np.float64), leaf_fit)
