@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoaffinity.llm.frames import batch_of, columns_of
+from geoaffinity.llm.frames import batch_of, columns_of, smallest_hashes
 from geoaffinity.llm.html_blocks import Block, leaf_blocks
 
 FIT_PAGES = 300
@@ -225,10 +225,15 @@ def fit_extractor(pages: DataFrame, fit_pages: int = FIT_PAGES) -> ChainModel:
     def smallest(some: DataFrame) -> list:
         return some.mapInArrow(usable, "place long, page_id long, html string").orderBy(*order).limit(fit_pages).collect()
 
-    # mostly these are enough; if not, all pages are asked
-    rows = smallest(readable.orderBy(*order).limit(2 * fit_pages))
-    if len(rows) < fit_pages:
-        rows = smallest(readable)
+    # pages of small hashes first, eight times as many while too few can be learnt from: so the
+    # tasks together send a bounded number of pages, however many there are
+    total, asked = pages.filter(F.col("page_id").isNotNull()).count(), 2 * fit_pages
+    while True:
+        chosen, share = smallest_hashes(F.col("place"), asked, total)
+        rows = smallest(readable.filter(chosen))
+        if len(rows) >= fit_pages or share >= 1:
+            break
+        asked *= 8
     chance = random.Random(9)
     training = []
     for row in sorted(rows, key=lambda row: (row["page_id"], row["html"])):

@@ -229,6 +229,22 @@ def test_nearest_neighbours_recall_ties_and_bad_vectors(spark):
     assert len(kmeans_tree.search(table.filter("vec_id in (0, 3, 4)")).collect()) == 2
 
 
+def test_every_length_of_vectors_is_searched(spark):
+    chance = np.random.default_rng(3)
+    short = {n: chance.normal(size=3).tolist() for n in range(0, 2000, 50)}
+    long = {n: chance.normal(size=5).tolist() for n in range(25, 1200, 25) if n not in short}
+    long[300_000] = chance.normal(size=5).tolist()
+    table = spark.createDataFrame([*short.items(), *long.items(), (700_000, [1.0])], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in kmeans_tree.search(table).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == [*range(0, 2000, 100), 300_000]
+    for query, found in got.items():
+        group = short if query in short else long
+        others = sorted((math.dist(v, group[query]), n) for n, v in group.items() if n != query)
+        assert found == [n for _, n in others[:10]]
+
+
 def test_queries_in_small_leaves_find_k_neighbours(spark, monkeypatch):
     chance = np.random.default_rng(6)
     rows = [(n, [float(x) for x in chance.normal(size=4)]) for n in range(400)]
@@ -280,6 +296,13 @@ def test_language_model_knows_the_order_of_words(spark):
         assert found[n]["score"] > found[n]["base_score"]
 
 
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    one, other = ({r["doc_id"]: r["score"] for r in context_mixing.score_texts(d).collect()} for d in (docs, docs.repartition(7)))
+    assert one.keys() == other.keys()
+    assert all(math.isclose(one[n], other[n], rel_tol=1e-6) for n in one)
+
+
 def test_token_probabilities_of_a_position_sum_to_one():
     table = np.zeros((context_mixing.CONTEXTS, 1 << context_mixing.TABLE_BITS, 2), np.float32)
     context_mixing.add_counts(table, [b"abc", b"abd", b"xyz"], np.array([5, 3, 2]))
