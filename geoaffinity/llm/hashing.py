@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose hashes a task remembers; forgotten all together when full.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
