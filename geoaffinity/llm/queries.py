@@ -105,6 +105,49 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The others are models, searches or codes that SQL cannot express; see tests/llm.
 LLM_ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM base),
+worded AS (
+  SELECT r, line, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM lines),
+counted AS (
+  SELECT r, line, low, len(w) AS n,
+    len(list_filter(w, lambda x: list_contains(['|', '||', '>', '>>', '/', '//', '::', '»', '›', '•', '·', '→', '«'], x))) AS separators
+  FROM worded WHERE len(w) > 0),
+judged AS (
+  SELECT r, line, n, CASE
+    WHEN separators >= 3 AND 10 * separators >= n THEN 'navigation'
+    WHEN regexp_matches(low, 'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|cookie settings|use cookies|uses cookies|accept cookies|accept all cookies|enable javascript|javascript is disabled|javascript is required|lorem ipsum|subscribe to our newsletter|sign up for our newsletter|click here to|skip to content|skip to main content|back to top|powered by|copyright \(c\)|permission is hereby granted|licensed under the|spdx-license-identifier|without warranty of any kind|redistribution and use in source') THEN 'boilerplate'
+    WHEN 3 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n THEN 'punctuation'
+    WHEN NOT regexp_matches(line, '[\p{L}\p{N}]') THEN 'punctuation'
+    WHEN n > 200 AND NOT regexp_matches(line, '[.!?…:;,。！？；：，،۔؟।]') THEN 'punctuation'
+    END AS rule
+  FROM counted),
+by_line AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (rule = 'navigation') AS n_navigation, count(*) FILTER (rule = 'boilerplate') AS n_boilerplate,
+    count(*) FILTER (rule = 'punctuation') AS n_punctuation, coalesce(sum(n) FILTER (rule IS NOT NULL), 0) AS lost_words
+  FROM judged GROUP BY r),
+grams AS (
+  SELECT r, unnest(range(1, len(w) - 3)) AS p, w FROM base WHERE len(w) > 5),
+placed AS (SELECT r, p, array_to_string(w[p:p + 4], ' ') AS g FROM grams),
+again AS (SELECT r, p FROM placed QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+by_gram AS (SELECT r, count(DISTINCT p + k) AS n_repeat_words FROM again, range(0, 5) AS t(k) GROUP BY r),
+numbers AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
+    coalesce(n_navigation, 0)::BIGINT AS n_navigation, coalesce(n_boilerplate, 0)::BIGINT AS n_boilerplate,
+    coalesce(n_punctuation, 0)::BIGINT AS n_punctuation, coalesce(lost_words, 0)::BIGINT AS lost_words
+  FROM base LEFT JOIN by_line USING (r) LEFT JOIN by_gram USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_words <= 50 * n_words AS kept
+FROM numbers""",
     "op10_jaccard_join": r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(regexp_split_to_array(

@@ -5,12 +5,14 @@ import random
 import struct
 import zlib
 
+import duckdb
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geoaffinity.llm import bpe_words, html_crf, merges, quality_rules, token_counts, toxicity
+from geoaffinity.llm import bpe_words, html_crf, merges, quality_rules, queries, token_counts, toxicity
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 DOCS = "doc_id long, text string, lang string, n_words string"
@@ -103,6 +105,19 @@ def test_quality_counts_equal_brute_force_and_rules_reject(docs):
     assert verdicts == [True, False, False, False, True]
 
 
+def test_quality_sql_states_every_rule(docs):
+    """The SQL of the query, on odd texts and on lines that fail each rule."""
+    sound = "A first sentence of this text. It goes on as texts do, with words of many kinds, to its end.\n"
+    menu = "Home | About | Contact | Help\n"
+    rows = [*TEXTS, sound + menu, sound + menu * 20, sound + "Powered BY nobody\r\n" * 2, sound + "--- ***\n\n \t\n=====\n", "— … —\n" * 12]
+    rows += [sound + " ".join(f"w{n}" for n in range(210)), sound + " ".join(f"w{n}" for n in range(200)), sound + "a ## b\n" + "é « » ‹ ›\u00a0x"]
+    database = duckdb.connect()
+    database.register("documents", pd.DataFrame({"doc_id": range(len(rows)), "text": pd.Series(rows, dtype=object)}))
+    names = [c.split()[0] for c in quality_rules.COLUMNS.split(", ")]
+    got = database.execute(f"select doc_id, {', '.join(names)} from ({queries.LLM_ORACLE_SQL['op2_quality_rules']}) order by doc_id").fetchall()
+    assert got == [(n, *quality_rules.judge(text)) for n, text in enumerate(rows)]
+
+
 def test_toxicity_learns_words_and_ignores_held_out_labels(spark):
     chance = random.Random(1)
     rows, labels = [], []
