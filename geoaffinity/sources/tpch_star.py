@@ -33,9 +33,13 @@ _VIEWED_NUMBERS = 100
 _PERIOD_DAYS = 30
 
 
-def tpch_star(spark: SparkSession, folder: str) -> StarTables:
-    """The ten star tables over ``<folder>/*.parquet``, all lazy."""
-    source = _Source(spark, folder)
+def tpch_star(spark: SparkSession, folder: str, whole: bool = False) -> StarTables:
+    """The ten star tables over ``<folder>/*.parquet``, all lazy.
+
+    whole: no order is a service or a swatch order, every place has its region and every product
+    its collection, so that no row of the test tables drops out by values made up for it.
+    """
+    source = _Source(spark, folder, whole)
     return StarTables(lambda name: getattr(source, name))
 
 
@@ -54,8 +58,9 @@ def _code(number: str) -> str:
 
 
 class _Source:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, whole: bool = False):
         self._read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+        self._made_up = lambda condition: "false" if whole else condition
 
     @cached_property
     def _places(self) -> DataFrame:
@@ -67,7 +72,7 @@ class _Source:
             .selectExpr(
                 "n_nationkey",
                 "IF(n_nationkey < 20, 'US', 'AU') AS market",
-                f"IF(n_nationkey = {_NOWHERE}, NULL, IF(n_nationkey < 20, {us}, {au})) AS region",
+                f"IF({self._made_up(f'n_nationkey = {_NOWHERE}')}, NULL, IF(n_nationkey < 20, {us}, {au})) AS region",
                 "'Z' || n_nationkey AS zip",
                 "n_nationkey + 500 AS dma_code",
                 f"{_case('n_nationkey', _NATION_DMAS, 'NULL')} AS metro",
@@ -95,8 +100,8 @@ class _Source:
                 f"CAST(date_add(DATE'2024-01-01', {days}) AS TIMESTAMP_NTZ) AS payment_completion_time",
                 "IF(o_orderpriority = '5-LOW', 'app', 'web') AS spree_channel",
                 "IF(o_orderstatus = 'P', 'pending', 'complete') AS classification",
-                "IF(o_custkey % 11 = 0, 'Service', 'Goods') AS order_type",
-                "IF(o_orderkey % 13 = 0, 'Y', 'N') AS pure_swatch_order_flag",
+                f"IF({self._made_up('o_custkey % 11 = 0')}, 'Service', 'Goods') AS order_type",
+                f"IF({self._made_up('o_orderkey % 13 = 0')}, 'Y', 'N') AS pure_swatch_order_flag",
                 "zip AS shipping_zip_code",
             )
         )
@@ -219,7 +224,7 @@ class _Source:
                 "'All' AS master_category",
                 "IF(p_type = 'PROMO', 'Swatch', p_type) AS category",
                 "IF(p_brand = 'Brand#25', 'Accident Protection Plan', p_brand) AS subcategory",
-                "IF(p_partkey % 19 = 0, NULL, split_part(p_name, ' ', 2)) AS collection",
+                f"IF({self._made_up('p_partkey % 19 = 0')}, NULL, split_part(p_name, ' ', 2)) AS collection",
                 "split_part(p_name, ' ', 1) AS color_tone",
             )
         )
