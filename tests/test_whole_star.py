@@ -7,7 +7,10 @@ from geoaffinity.catalog.queries import QUERIES
 from tests.oracle_check import duck
 
 FOLDER = "/root/testdata/sf0.001"
-KEYS = {"order_cells_region": "region, market_sku, order_date"}
+KEYS = {
+    "order_cells_region": "region, market_sku, order_date",
+    "order_cells_dma": "dma, market_sku, order_date",
+}
 
 # Every cell of completed web orders, straight from the tables; no other rule drops an order.
 _CELLS = """SELECT DISTINCT {place}, 'US-' || l_partkey, DATE '2024-01-01'
@@ -22,7 +25,10 @@ _REGION = """CASE r_name WHEN 'AFRICA' THEN 'US West' WHEN 'AMERICA' THEN 'US Ea
 _METRO = """CASE n_nationkey WHEN 1 THEN 'New York, NY' WHEN 0 THEN 'Los Angeles CA'
     WHEN 6 THEN 'Washington DC (Hagerstown MD)' WHEN 5 THEN 'San Francisco-Oakland-San Jose CA'
     WHEN 3 THEN 'Seattle-Tacoma WA' END"""
-CELLS = {"order_cells_region": _CELLS.format(place=_REGION, only="")}
+CELLS = {
+    "order_cells_region": _CELLS.format(place=_REGION, only=""),
+    "order_cells_dma": _CELLS.format(place=_METRO, only=f"AND {_METRO} IS NOT NULL"),
+}
 
 
 @pytest.fixture(scope="module")
