@@ -10,6 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 KEYS = {
     "order_cells_region": "region, market_sku, order_date",
     "order_cells_dma": "dma, market_sku, order_date",
+    "order_cells_country": "market, market_sku, order_date",
 }
 
 # Every cell of completed web orders, straight from the tables; no other rule drops an order.
@@ -28,6 +29,7 @@ _METRO = """CASE n_nationkey WHEN 1 THEN 'New York, NY' WHEN 0 THEN 'Los Angeles
 CELLS = {
     "order_cells_region": _CELLS.format(place=_REGION, only=""),
     "order_cells_dma": _CELLS.format(place=_METRO, only=f"AND {_METRO} IS NOT NULL"),
+    "order_cells_country": _CELLS.format(place="'US'", only=""),
 }
 
 
