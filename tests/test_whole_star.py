@@ -11,6 +11,7 @@ KEYS = {
     "order_cells_region": "region, market_sku, order_date",
     "order_cells_dma": "dma, market_sku, order_date",
     "order_cells_country": "market, market_sku, order_date",
+    "key_union": "region, market_sku, order_date",
 }
 
 # Every cell of completed web orders, straight from the tables; no other rule drops an order.
@@ -26,10 +27,21 @@ _REGION = """CASE r_name WHEN 'AFRICA' THEN 'US West' WHEN 'AMERICA' THEN 'US Ea
 _METRO = """CASE n_nationkey WHEN 1 THEN 'New York, NY' WHEN 0 THEN 'Los Angeles CA'
     WHEN 6 THEN 'Washington DC (Hagerstown MD)' WHEN 5 THEN 'San Francisco-Oakland-San Jose CA'
     WHEN 3 THEN 'Seattle-Tacoma WA' END"""
+
+
+# Cells that were seen, in all regions but Overseas.
+_SEEN = f"""SELECT DISTINCT {_REGION}, 'US-' || p_partkey, CAST(ts AS DATE)
+  FROM events JOIN customer ON user_id = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    JOIN part ON p_partkey = CAST(json_extract(props, '$.k') AS INTEGER)
+      + 100 * (user_id % greatest(1, (SELECT count(*) // 100 FROM part)))
+  WHERE n_nationkey < 20 AND event_type IN ('view', 'click') AND r_name <> 'MIDDLE EAST'
+    AND p_type <> 'PROMO' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'"""
 CELLS = {
     "order_cells_region": _CELLS.format(place=_REGION, only=""),
     "order_cells_dma": _CELLS.format(place=_METRO, only=f"AND {_METRO} IS NOT NULL"),
     "order_cells_country": _CELLS.format(place="'US'", only=""),
+    "key_union": f"{_CELLS.format(place=_REGION, only='')} UNION {_SEEN}",
 }
 
 
