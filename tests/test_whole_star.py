@@ -12,6 +12,7 @@ KEYS = {
     "order_cells_dma": "dma, market_sku, order_date",
     "order_cells_country": "market, market_sku, order_date",
     "key_union": "region, market_sku, order_date",
+    "feature_key": "region, market_sku, order_date",
 }
 
 # Every cell of completed web orders, straight from the tables; no other rule drops an order.
@@ -42,6 +43,7 @@ CELLS = {
     "order_cells_dma": _CELLS.format(place=_METRO, only=f"AND {_METRO} IS NOT NULL"),
     "order_cells_country": _CELLS.format(place="'US'", only=""),
     "key_union": f"{_CELLS.format(place=_REGION, only='')} UNION {_SEEN}",
+    "feature_key": f"{_CELLS.format(place=_REGION, only='')} UNION {_SEEN}",
 }
 
 
