@@ -17,16 +17,26 @@ from geoaffinity.operators.measures import SUMMED, keyed, sums
 
 #: SKUs are numbered within so many hashed groups, so that no task sorts them all.
 _GROUPS = 1024
+#: Groups that the SKUs of one value are dealt to, where numbers are kept near.
+_OF_VALUE = 64
 
 
-def sku_numbers(attributes: DataFrame) -> DataFrame:
+def sku_numbers(attributes: DataFrame, near: Sequence[str] = ()) -> DataFrame:
     """Rows (market_sku, sku_no): the numbers 0, 1, 2, ... without gaps, the same in every run.
 
     Numbers within a group follow its SKUs' order; a group's first number is the sum of the groups
-    before, over one row for each of the groups.
+    before, over one row for each of the groups. ``near`` names attributes whose values' SKUs get
+    numbers next to each other, but for values of equal hash: a value's bitmaps are then few and
+    full, instead of one for every block of all SKUs.
     """
-    skus = attributes.select("market_sku").distinct()
-    grouped = skus.withColumn("part", F.pmod(F.hash("market_sku"), F.lit(_GROUPS)))
+    if near:
+        skus = attributes.groupBy("market_sku").agg(*[F.min(name).alias(name) for name in near])
+        value = F.pmod(F.hash(*near), F.lit(_GROUPS))
+        part = value * _OF_VALUE + F.pmod(F.hash("market_sku"), F.lit(_OF_VALUE))
+    else:
+        skus = attributes.select("market_sku").distinct()
+        part = F.pmod(F.hash("market_sku"), F.lit(_GROUPS))
+    grouped = skus.select("market_sku", part.alias("part"))
     within = F.row_number().over(Window.partitionBy("part").orderBy("market_sku"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = grouped.groupBy("part").count().select(
@@ -44,7 +54,9 @@ def daily_summary(
 ) -> DataFrame:
     """Per place, category, feature value, day and block of SKU numbers: summed measures and a bitmap.
 
-    A SKU lies in one block, so measures add up over blocks.
+    A SKU lies in one block, so measures add up over blocks. With numbers near by category and
+    feature a value has no more blocks than its SKUs fill, so rows don't grow with all SKUs times
+    all values.
     """
     return (
         keyed(cells, feature)
