@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoaffinity.operators.cells import DMA, REGION, order_measures
+from geoaffinity.operators.cells import DMA, REGION, order_levels
 from geoaffinity.params import Scope
 from geoaffinity.sources.shared import file_system, hadoop_path, remove
 from geoaffinity.sources.fetch import fetch
@@ -22,8 +22,7 @@ from geoaffinity.sources.star import StarTables
 _ORDERS = "total_revenue DECIMAL(28,4), total_quantity BIGINT, total_order BIGINT"
 _KEYS = "build STRING, market STRING, order_date DATE"
 SCHEMAS = {
-    "orders_region": f"market_sku STRING, region STRING, {_ORDERS}, {_KEYS}",
-    "orders_dma": f"market_sku STRING, dma STRING, {_ORDERS}, {_KEYS}",
+    "orders": f"market_sku STRING, place STRING, {_ORDERS}, level STRING, {_KEYS}",
     "views_region": f"market_sku STRING, region STRING, product_view BIGINT, add_to_cart BIGINT, {_KEYS}",
     "views_dma": f"market_sku STRING, dma STRING, product_view BIGINT, {_KEYS}",
     "days": _KEYS,
@@ -31,7 +30,7 @@ SCHEMAS = {
 
 
 class KeptCells:
-    """Cells below a shared folder, partitioned by market and day.
+    """Cells below a shared folder, partitioned by market and day, orders by level of place before.
 
     ``update`` rebuilds the days of a scope and touches no other; one update at a time.
     ``star.with_kept(cells)`` makes a star whose analyses read them.
@@ -50,8 +49,7 @@ class KeptCells:
         """
         star = star.with_kept(None)
         frames = {
-            "orders_region": order_measures(star, scope, REGION),
-            "orders_dma": order_measures(star, scope, DMA),
+            "orders": order_levels(star, scope),
             "views_region": fetch(
                 """SELECT market_sku, region, date AS order_date, sum(product_view) AS product_view,
                   sum(add_to_cart) AS add_to_cart
@@ -77,17 +75,18 @@ class KeptCells:
 
     def _replace(self, name: str, frame: DataFrame, scope: Scope, build: str) -> None:
         path = f"{self.folder}/{name}"
-        rows = frame.select("*", F.lit(build).alias("build"), F.lit(scope.market).alias("market"))
+        parts = [*(["level"] if "level" in frame.columns else []), "market", "order_date"]
+        rows = frame.hint("rebalance", "order_date")
         (
-            rows.hint("rebalance", "order_date")
+            rows.select("*", F.lit(build).alias("build"), F.lit(scope.market).alias("market"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("market", "order_date")
+            .partitionBy(*parts)
             .parquet(path)
         )
-        old = self._read(name, scope).filter(F.col("build") != build).select("order_date").distinct()
-        for row in old.collect():  # at most the days of the scope
-            remove(self._spark, f"{path}/market={scope.market}/order_date={row['order_date']}")
+        old = self._read(name, scope).filter(F.col("build") != build).select(*parts).distinct()
+        for row in old.collect():  # at most the levels and days of the scope
+            remove(self._spark, "/".join([path, *[f"{part}={row[part]}" for part in parts]]))
 
     def _read(self, name: str, scope: Scope) -> DataFrame:
         stored = self._spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
@@ -113,10 +112,10 @@ class KeptCells:
     def order_measures(self, scope: Scope, place: str | None) -> DataFrame:
         """Revenue, quantity and orders per SKU, place and day; an order has one region, so
         regions add up to the country."""
-        if place == DMA:
-            return self._rows("orders_dma", scope)
-        rows = self._rows("orders_region", scope)
-        if place == REGION:
+        level = DMA if place == DMA else REGION
+        rows = self._rows("orders", scope).filter(F.col("level") == level).drop("level")
+        rows = rows.withColumnRenamed("place", level)
+        if place:
             return rows
         sums = [F.sum(n).alias(n) for n in ("total_revenue", "total_quantity", "total_order")]
         return rows.groupBy("market_sku", "order_date").agg(*sums)
