@@ -31,6 +31,7 @@ _NOWHERE = 7
 # The views name one of this many products; they are spread over all products by user.
 _VIEWED_NUMBERS = 100
 _PERIOD_DAYS = 30
+_MONEY = "CAST(CAST({} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4))"
 
 
 def tpch_star(spark: SparkSession, folder: str, whole: bool = False) -> StarTables:
@@ -116,7 +117,6 @@ class _Source:
         them fewer. Money is counted in whole hundredths of a cent, which is exact.
         """
         cents, percent = "CAST(round(l_extendedprice * 100) AS BIGINT)", "CAST(round({} * 100) AS BIGINT)"
-        money = "CAST(CAST({} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4))"
         lines = (
             self._read("lineitem")
             .selectExpr(
@@ -132,9 +132,9 @@ class _Source:
             "k",
             "market",
             "payment_completion_time",
-            f"{money.format('sale_amount')} AS sale_amount",
+            f"{_MONEY.format('sale_amount')} AS sale_amount",
             "quantity",
-            f"{money.format('cost')} AS cost",
+            "cost",
         )
 
     @cached_property
@@ -145,15 +145,12 @@ class _Source:
 
     @cached_property
     def fact_product_ads_metric(self) -> DataFrame:
+        """Cost is summed as whole numbers per product number; names and money come after."""
         return (
-            self._sold.selectExpr(
-                "market",
-                "to_date(payment_completion_time) AS date",
-                f"{_code('k')} AS market_sku",
-                "cost",
-            )
-            .groupBy("market", "date", "market_sku")
+            self._sold.selectExpr("market", "to_date(payment_completion_time) AS date", "k", "cost")
+            .groupBy("market", "date", "k")
             .agg(F.sum("cost").alias("cost"))
+            .selectExpr("market", "date", f"{_code('k')} AS market_sku", f"{_MONEY.format('cost')} AS cost")
         )
 
     @cached_property

@@ -39,3 +39,9 @@ def test_lines_move_once_to_their_orders(spark):
     shown = without_broadcast(spark, lambda: tpch_star(spark, FOLDER).fact_saleorderline)
     moved = exchanges_above(shown, "lineitem")
     assert len(moved) == 1 and re.match(r"Exchange hashpartitioning\(spree_so_id#\d+, \d+\)", moved[0])
+
+
+def test_cost_is_summed_by_product_number(spark):
+    shown = without_broadcast(spark, lambda: tpch_star(spark, FOLDER).fact_product_ads_metric)
+    moved = exchanges_above(shown, "lineitem")
+    assert len(moved) == 2 and re.match(r"Exchange hashpartitioning\(market#\d+, date#\d+, k#\d+L, \d+\)", moved[0])
