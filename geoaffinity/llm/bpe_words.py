@@ -187,6 +187,10 @@ class WordEncoder:
             if len(word) > LONGEST:
                 del known[word]
 
+    def forget(self) -> None:
+        """Forget all words. A worker outlives its task, and later stages need its memory."""
+        self.known = dict(self.special_form)
+
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
     start = size = 0
@@ -201,20 +205,14 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    """The worker's encoder, which later tasks of the worker use again."""
+    """The worker's encoder, which later tasks of the worker use again, without the words."""
     return WordEncoder(path)
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """One row per row of docs (doc_id, text): tokens, hashes of the ids and of the decoded text.
-
-    tokenizer_path: a file that all executors find at this path. Null texts count as empty: no
-    tokens, the hashes of nothing. A null doc_id stays null; repeated rows are encoded each; other
-    columns are not read. An empty table gives an empty result.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+def encoded_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a task (doc_id, text), encoded; its words are forgotten in the end."""
+    encoder = _encoder(path)
+    try:
         for ids, texts in small_columns_of(batches):
             tokens, id_hashes, text_hashes, words = [], [], [], []
             for chunk in _chunks([text or "" for text in texts]):
@@ -224,7 +222,18 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     text_hashes.append(hashlib.sha256(utf8(decoded)).hexdigest())
                     words.append(found)
             yield batch_of(_ARROW, [ids, tokens, id_hashes, text_hashes, words])
+    finally:
+        encoder.forget()
 
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """One row per row of docs (doc_id, text): tokens, hashes of the ids and of the decoded text.
+
+    tokenizer_path: a file that all executors find at this path. Null texts count as empty: no
+    tokens, the hashes of nothing. A null doc_id stays null; repeated rows are encoded each; other
+    columns are not read. An empty table gives an empty result.
+    """
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(
-        rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long"
+        lambda batches: encoded_rows(batches, tokenizer_path),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long",
     )

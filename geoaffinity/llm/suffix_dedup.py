@@ -310,6 +310,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([remaining(t, c) for t, c in zip(texts, cuts, strict=True)])
 
+    # else Spark would repeat it in the filter below, in Python workers of its own
+    cut = cut.asNondeterministic()
     changed = F.when(F.col(cuts).isNull(), docs["text"]).otherwise(cut(docs["text"].cast("string"), F.col(cuts)))
     out = joined.select(*[changed.alias(c) if c == "text" else docs[c] for c in names], F.col(cuts).isNotNull().alias(is_cut))
     if "n_chars" in names:
